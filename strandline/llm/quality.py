@@ -26,7 +26,7 @@ _SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("many_symbols", "10 * n_symbols > 5 * n_words AND n_symbols >= 10"),
+    ("many_symbols", "10 * n_symbols > 2 * n_words AND n_symbols >= 10"),
     ("duplicate_lines", "10 * n_dup_lines > 5 * n_lines AND n_dup_lines >= 3"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     ("shouting", "10 * n_upper > 6 * n_letters AND n_letters >= 50"),
