@@ -96,6 +96,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their columns. A row is known by its id and its text's digest, so
+    rows that share an id but not a text are judged each; exact repeats of one row stay together."""
+    verdicts = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), SPACES, ""), 256)
+    return docs.join(verdicts, docs[id_col].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_sha")), "left_semi")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bfd, bpe, chat, exact_dedup, line_dedup, quality, simhash, swap_packing, warc
+from . import bfd, bpe, chat, exact_dedup, line_dedup, pii, quality, simhash, swap_packing, warc
 from .common import table
 
 
@@ -42,17 +42,25 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_packing.swap_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packed_matrices, op3_line_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_warc, op8_chat, op10_swap_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packed_matrices, op3_line_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_warc, op8_chat, op9_pii, op10_swap_packing)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    import corpus_pipeline
+
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

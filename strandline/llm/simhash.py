@@ -114,3 +114,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = named.join(whole, "component").select("fp", "component_id", "class_size")
     out = ledger.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs that carry their component's id, with their columns: one document of each group. Rows without
+    an id stay, as none of them can be named the group's one document."""
+    classes = simhash_components(docs, id_col, text_col, words, radius)
+    dropped = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
