@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,29 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int32).max
+
+
+def _latin_class(kind: str) -> str:
+    """The characters below U+0100 of a class of the pattern, for a set of the standard library's expressions."""
+    is_one = regex.compile(kind).fullmatch
+    return "".join(f"\\x{c:02x}" for c in range(256) if is_one(chr(c)))
+
+
+class Splitter:
+    """findall of PATTERN. Texts of characters below U+0100 alone take the standard library's faster engine, with the
+    classes written out and the words first, which changes nothing as no other branch begins like a word."""
+
+    def __init__(self):
+        letters, numbers, spaces = _latin_class(r"\p{L}"), _latin_class(r"\p{N}"), _latin_class(r"\s")
+        latin = rf" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+        self.latin, self.full = re.compile(latin).findall, regex.compile(PATTERN).findall
+
+    def __call__(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.full(text)
+        return self.latin(text)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,10 +161,10 @@ class Encoder:
 
     LONG = 256
 
-    def __init__(self, path: str, pattern: str = PATTERN, memo_size: int = 800_000):
+    def __init__(self, path: str, memo_size: int = 1_500_000):
         self.ranks = load_ranks(path)
         self.pairs = PairTable(self.ranks)
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter()
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token

@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
+import os
+import sys
+from array import array
 from collections.abc import Iterator
 
-import regex
 from tokenizers import Tokenizer
 
-from .bpe import PATTERN
+from .bpe import Splitter
+
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+
+def _packed(ids: list[int]) -> bytes:
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
 
 
 class PieceTokenizer:
     """Ids of whole texts by a byte-level BPE tokenizer file, without special tokens.
 
-    A byte-level tokenizer splits a text by `pattern` before it merges, so a text's ids are its pieces' ids in turn.
+    A byte-level tokenizer splits a text by the pattern of `bpe` before it merges, so a text's ids are its pieces' ids in turn.
     The strings of special tokens count as ordinary text. The memo is emptied when it exceeds `memo_size` pieces.
     """
 
-    def __init__(self, path: str, pattern: str = PATTERN, memo_size: int = 800_000):
+    def __init__(self, path: str, memo_size: int = 1_500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter()
         self.memo: dict[str, bytes] = {}
         self.memo_size = memo_size
 
     def encode_batch(self, texts: list[str | None], step: int = 256) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        encode = self.tokenizer.encode
+        encode = self.tokenizer.encode_batch_fast
         for lo in range(0, len(texts), step):
             split = [self.split(t or "") for t in texts[lo : lo + step]]
             if len(self.memo) > self.memo_size:
                 self.memo.clear()
             memo = self.memo
-            for p in {p for pieces in split for p in pieces if p not in memo}:
-                ids = encode(p, add_special_tokens=False).ids
-                memo[p] = b"".join([i.to_bytes(4, "little") for i in ids])
+            new = [*{p for pieces in split for p in pieces if p not in memo}]
+            if new:
+                memo.update(zip(new, (_packed(e.ids) for e in encode(new, add_special_tokens=False))))
             for pieces in split:
                 yield b"".join([memo[p] for p in pieces])
 
