@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import base, dense, etl, paths, streams  # noqa: F401  importing a plan module registers its queries
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel, scores, graph-resolvent weights and the amplification of every month."""
+    return base.QUERIES["tau_soft_resolvent"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
