@@ -52,7 +52,9 @@ def absorbed(turns: DataFrame) -> DataFrame:
     ends = whole.select("conv_id", F.col("k").alias("n"))
     # One row for each different proper prefix: common first turns combine map-side.
     longer = prefixes.join(ends, "conv_id").filter("k < n").groupBy(*key).agg(F.min("conv_id").alias("longer"))
-    found = whole.join(equal, key).join(longer, key, "left")
+    # The keys are written first, so that the join on them is of two plain exchanges, which a common key may split.
+    keys = checkpointed(equal.join(longer, key, "left"))
+    found = checkpointed(whole).join(keys, key)
     by = F.coalesce("longer", F.when(F.col("conv_id") > F.col("first"), F.col("first")))
     candidates = found.select("conv_id", "k", by.alias("absorbed_by")).filter("absorbed_by IS NOT NULL")
     # The exact check: every turn of a candidate against the same place of its witness.
