@@ -23,7 +23,7 @@ from .common import checkpointed
 from .tokens import cut, piece_tokenizer
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 20_000) -> np.ndarray:
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 8_000) -> np.ndarray:
     """bins (of each piece) improved; never more bins than before. max_steps bounds the exchanges of one block."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -79,7 +79,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps
         bins[out], bins[back] = b, a
         fill[a] -= best[0]
         fill[b] += best[0]
-        stuck[[a, b]] = False
+        stuck[:] = False
     return bins
 
 
