@@ -72,5 +72,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = checkpointed(small(large(now)))
         before, seen = seen, state(now)
         if before == seen:
-            return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = now.select(F.col("v").alias("u"), "v").distinct()
+            return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")
