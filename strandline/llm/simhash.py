@@ -116,9 +116,111 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+
+# --- near-duplicates beyond the covering radius ------------------------------------------------------------------
+
+WORDS64 = 8  # the wide fingerprint has 512 bits
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: Odd multipliers that turn one hash of a shingle into several.
+_ODD = _mix(np.arange(1, WORDS64 + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(text: str | None, words: int = 5, every: int = 12) -> tuple[list[int], list[int]]:
+    """The wide fingerprint (WORDS64 unsigned integers over shingles of `words`) and the hashes of the text's segments.
+
+    Segments end after words where a hash of the last two falls below a 1 / `every` share of its range, so an edit
+    changes the segments it touches and no others. Segments shorter than `words` are left out, unless that is all.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(parts)
+    if not n:
+        return [0] * WORDS64, []
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if n >= words else iter([b" ".join(parts)])
+    total, counts, left = max(n - words + 1, 1), np.zeros((WORDS64, BITS), np.int64), max(n - words + 1, 1)
+    while left:
+        size = min(left, _CHUNK)
+        h = np.fromiter((xxhash.xxh64_intdigest(next(shingles), 42) for _ in range(size)), np.uint64, size)
+        for k in range(WORDS64):
+            x = _mix(h * _ODD[k]) if k else h
+            counts[k] += np.unpackbits(x.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        left -= size
+    fp = np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    w = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)
+    before = np.concatenate([[np.uint64(0)], w[:-1]])
+    ends = np.flatnonzero(_mix(w * _ODD[1] + before) < np.uint64((1 << 64) // every)) + 1
+    ends = ends if len(ends) and ends[-1] == n else np.append(ends, n)
+    starts = np.concatenate([[0], ends[:-1]])
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    sums = np.add.reduceat(_mix(w + (place.astype(np.uint64) + np.uint64(1)) * _ODD[2]), starts)
+    keep = ends - starts >= words
+    segments = np.unique(sums[keep] if keep.any() else sums)
+    return fp.tolist(), segments.tolist()
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                some = [sketch(t.as_py(), words) for t in b.column(1).slice(lo, 512)]
+                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _ in some], pa.list_(pa.int64()))
+                segs = pa.array([np.array(s, np.uint64).view(np.int64) for _, s in some], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), fps, segs], names=["id", "f", "segments"])
+
+    return run
+
+
+def most_bits(similarity: float, bits: int = BITS * WORDS64, slack: float = 0.5) -> int:
+    """Differing bits that two texts of that Jaccard similarity are expected to show, plus `slack` standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) over links of two kinds: first 64 fingerprint bits within the covering radius; and sharing a
+    segment with the wide fingerprints no further apart than `similarity` on word shingles lets expect.
+
+    In each group that shares a segment every member is compared with the group's smallest and largest key, so a
+    passage that a third of all documents share gives two rows for each of them. Texts of equal wide fingerprints are
+    one key. Null, empty and word-free texts are one class.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    ledger = checkpointed(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        .mapInArrow(_sketches(words), f"id {kind}, f array<long>, segments array<long>")
+        .select("id", F.xxhash64("f").alias("key"), "f", "segments")
+    )
+    keys = checkpointed(ledger.groupBy("key", "f").agg(F.min("id").alias("rep")))
+    # Covering links on the first 64 bits, between the smallest keys of each value.
+    first = keys.select("key", F.element_at("f", 1).alias("fp"))
+    base = checkpointed(first.groupBy("fp").agg(F.min("key").alias("low")))
+    same = first.join(base, "fp").filter("key != low").select(F.col("key").alias("u"), F.col("low").alias("v"))
+    covered = links(base.select("fp"), radius)
+    covered = covered.join(base.select(F.col("fp").alias("u"), F.col("low").alias("ku")), "u").join(base.select(F.col("fp").alias("v"), F.col("low").alias("kv")), "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
+    # Links through segments.
+    held = ledger.select("key", F.explode("segments").alias("segment"))
+    shared = checkpointed(held.groupBy("segment").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi"))
+    met = held.join(shared, "segment").select("key", F.explode(F.array("lo", "hi")).alias("other")).filter("key != other")
+    pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
+    fu, fv = keys.select(F.col("key").alias("u"), F.col("f").alias("fu")), keys.select(F.col("key").alias("v"), F.col("f").alias("fv"))
+    apart = sum((F.bit_count(F.element_at("fu", k + 1).bitwiseXOR(F.element_at("fv", k + 1))) for k in range(WORDS64)), F.lit(0))
+    alike = pairs.join(fu, "u").join(fv, "v").filter(apart <= most_bits(similarity)).select("u", "v")
+    found = checkpointed(components(covered.unionByName(same).unionByName(alike).distinct()))
+    named = keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = checkpointed(named.join(whole, "component").select("key", "component_id"))
+    return ledger.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that carry their component's id, with their columns: one document of each group. Rows without
     an id stay, as none of them can be named the group's one document."""
-    classes = simhash_components(docs, id_col, text_col, words, radius)
+    classes = near_components(docs, id_col, text_col, words, radius, similarity)
     dropped = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
     return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")

@@ -78,9 +78,34 @@ def test_chains_and_hot_neighbourhoods(spark):
     assert len({comp[f] for f in fps}) == 1 and len({comp[f] for f in chain}) == 1 and comp[far] != comp[next(iter(fps))]
 
 
+def test_near_components_catch_similar_texts(spark, tricky, nothing):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(300)] for _ in range(20)]
+    rows, n = [], 0
+    shared = [f"boilerplate{i}" for i in range(60)]  # a passage that all share makes nobody alike
+    for b in base:
+        rows.append((n, " ".join(b + shared)))
+        edited = list(b)
+        for at in rng.sample(range(300), 4):
+            edited[at] = "edited"
+        rows.append((n + 1, " ".join(edited + shared)))
+        n += 2
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i + 1] == i for i in range(0, n, 2)) >= 19 and all(got[i] in (i, i - 1) for i in range(n))
+    assert simhash.near_components(nothing).count() == 0 and simhash.near_components(tricky).count() == tricky.count()
+
+
+def test_segments_follow_edits():
+    words = [f"w{i}" for i in range(400)]
+    a, b = set(simhash.sketch(" ".join(words))[1]), set(simhash.sketch(" ".join(words[:200] + ["new"] + words[200:]))[1])
+    assert len(a & b) >= len(a) - 2
+    assert simhash.sketch(None) == ([0] * simhash.WORDS64, []) and len(simhash.sketch("one two")[1]) == 1
+
+
 def test_keep_one(corpus, tricky, nothing):
     kept = simhash.keep_one(corpus)
-    want = {d for d, _, c in brute([(r.doc_id, r.text) for r in corpus.collect()]) if d == c}
+    classes = simhash.near_components(corpus)
+    want = {r.doc_id for r in classes.filter("doc_id = component_id").collect()}
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == corpus.columns
     assert simhash.keep_one(tricky).columns == tricky.columns
     assert simhash.keep_one(nothing).count() == 0 and simhash.simhash_components(nothing).count() == 0
