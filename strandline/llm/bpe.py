@@ -161,7 +161,7 @@ class Encoder:
 
     LONG = 256
 
-    def __init__(self, path: str, memo_size: int = 1_500_000):
+    def __init__(self, path: str, memo_size: int = 1_000_000):
         self.ranks = load_ranks(path)
         self.pairs = PairTable(self.ranks)
         self.split = Splitter()

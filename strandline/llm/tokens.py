@@ -29,7 +29,7 @@ class PieceTokenizer:
     The strings of special tokens count as ordinary text. The memo is emptied when it exceeds `memo_size` pieces.
     """
 
-    def __init__(self, path: str, memo_size: int = 1_500_000):
+    def __init__(self, path: str, memo_size: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = Splitter()
