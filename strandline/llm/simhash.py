@@ -176,7 +176,7 @@ def _sketches(words: int):
     return run
 
 
-def most_bits(similarity: float, bits: int = BITS * WORDS64, slack: float = 0.5) -> int:
+def most_bits(similarity: float, bits: int = BITS * WORDS64, slack: float = 1.0) -> int:
     """Differing bits that two texts of that Jaccard similarity are expected to show, plus `slack` standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
@@ -186,8 +186,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component_id) over links of two kinds: first 64 fingerprint bits within the covering radius; and sharing a
     segment with the wide fingerprints no further apart than `similarity` on word shingles lets expect.
 
-    In each group that shares a segment every member is compared with the group's smallest and largest key, so a
-    passage that a third of all documents share gives two rows for each of them. Texts of equal wide fingerprints are
+    In each group that shares a segment every member is compared with two of them, the ends of an order that differs from
+    segment to segment; so a passage that a third of all documents share gives two rows for each of them, and texts
+    with many segments in common meet over many ends. Texts of equal wide fingerprints are
     one key. Null, empty and word-free texts are one class.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -204,9 +205,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covered = links(base.select("fp"), radius)
     covered = covered.join(base.select(F.col("fp").alias("u"), F.col("low").alias("ku")), "u").join(base.select(F.col("fp").alias("v"), F.col("low").alias("kv")), "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
     # Links through segments.
-    held = ledger.select("key", F.explode("segments").alias("segment"))
-    shared = checkpointed(held.groupBy("segment").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi"))
-    met = held.join(shared, "segment").select("key", F.explode(F.array("lo", "hi")).alias("other")).filter("key != other")
+    held = ledger.select("key", F.explode("segments").alias("segment")).withColumn("x", F.col("key").bitwiseXOR(F.col("segment")))
+    shared = checkpointed(held.groupBy("segment").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi"))
+    met = held.join(shared, "segment").select("key", "segment", F.explode(F.array("lo", "hi")).alias("end"))
+    met = met.select("key", F.col("end").bitwiseXOR(F.col("segment")).alias("other")).filter("key != other")
     pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
     fu, fv = keys.select(F.col("key").alias("u"), F.col("f").alias("fu")), keys.select(F.col("key").alias("v"), F.col("f").alias("fv"))
     apart = sum((F.bit_count(F.element_at("fu", k + 1).bitwiseXOR(F.element_at("fv", k + 1))) for k in range(WORDS64)), F.lit(0))

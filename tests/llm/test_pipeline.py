@@ -11,7 +11,7 @@ from strandline.llm import pii, quality, simhash
 
 
 def brute_near(rows):
-    """Components by comparing each segment group's smallest and largest key with its members, and all covering pairs."""
+    """Components by comparing each segment group's two ends with its members, and all covering pairs."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def key(f):
@@ -37,8 +37,9 @@ def brute_near(rows):
 
     most = simhash.most_bits(0.8)
     apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(keys[a], keys[b]))
-    for g in groups.values():
-        for end in (min(g), max(g)):
+    for s, g in groups.items():
+        order = lambda k: k ^ signed(s)
+        for end in (min(g, key=order), max(g, key=order)):
             for k in g:
                 if apart(k, end) <= most:
                     root[find(k)] = find(end)
