@@ -66,6 +66,13 @@ def circular_shift(df: DataFrame, value: str, k: int, by: list[str]) -> DataFram
     return df.join(moved, [*by, "t"])
 
 
+def permuted(df: DataFrame, value: str, seed: int, by: list[str]) -> DataFrame:
+    """value in a fixed order of places, that of a digest of (seed, t), as `placebo`."""
+    w = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("t").cast("string"))))
+    order = df.withColumn("_n", F.row_number().over(w) - 1)
+    return order.join(df.select(*by, F.col("t").alias("_n"), F.col(value).alias("placebo")), [*by, "_n"]).drop("_n")
+
+
 def in_range_zero(df: DataFrame, value: str, source: DataFrame, date: str = "date") -> DataFrame:
     """Nulls become zero inside the source's own range of dates and stay null outside."""
     span = source.filter(F.col(value).isNotNull()).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))

@@ -245,9 +245,21 @@ def eta_grid(vectors: DataFrame, points: int = 31, block: int = 12, extensions:
     return _grouped(vectors, run, "eta double, loss double, chosen boolean")
 
 
-def nested_scores(vectors: DataFrame, start: int, half_life_mean: float | None, half_life_cov: float | None, train: int) -> DataFrame:
+#: Ways to make a moving second moment fit for a density.
+ESTIMATORS = ("ledoit_wolf", "diagonal", "add_floor")
+
+
+def nested_scores(vectors: DataFrame, start: int, half_life_mean: float | None, half_life_cov: float | None, train: int, estimator: str = "ledoit_wolf", floor: float = 1e-8) -> DataFrame:
     """Predictive log scores of the four nested causal models (constant, moving covariance, moving mean, both) from
     place `start`. States are updated only after a month is scored."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator}")
+
+    def fit(k: np.ndarray, shrink: float) -> np.ndarray:
+        if estimator == "add_floor":
+            return k + floor * np.trace(k) / len(k) * np.eye(len(k))
+        return la.regularised(np.diag(np.diag(k)) if estimator == "diagonal" else k, shrink if estimator == "ledoit_wolf" else 0.0, floor)
+
     rates = {"M0": (None, None), "M1": (None, half_life_cov), "M2": (half_life_mean, None), "M3": (half_life_mean, half_life_cov)}
 
     def run(t, month, psi):
@@ -266,7 +278,7 @@ def nested_scores(vectors: DataFrame, start: int, half_life_mean: float | None,
             for i in range(train, len(y)):
                 e = y[i] - mean
                 if i >= start:
-                    rows.append((t[i], name, la.log_gaussian(e, la.regularised(k, shrink)) - jac))
+                    rows.append((t[i], name, la.log_gaussian(e, fit(k, shrink)) - jac))
                 k = ac * k + (1 - ac) * np.outer(e, e)
                 mean = am * mean + (1 - am) * y[i]
         return pd.DataFrame(rows, columns=["t", "model", "score"])
@@ -419,3 +431,99 @@ def subspace_angles(vectors: DataFrame, rank: int) -> DataFrame:
         return pd.DataFrame({"i": np.arange(rank), "cosine": la.principal_angles(a, b), "matched": order})
 
     return _grouped(vectors, run, "i int, cosine double, matched int")
+
+
+def psd_diagnostics(vectors: DataFrame, eta: float = 0.08) -> DataFrame:
+    """Symmetry error, extreme eigenvalues and numerical rank of K(s) at every state."""
+
+    def run(t, month, psi):
+        w = la.resolvent_weights(month, eta)
+        rows = []
+        for s in range(len(t)):
+            k = (psi * w[s][:, None]).T @ psi
+            lam = np.linalg.eigvalsh(la.sym(k))
+            rows.append((t[s], float(np.abs(k - k.T).max()), float(lam[0]), float(lam[-1]), int((lam > 1e-10 * lam[-1]).sum())))
+        return pd.DataFrame(rows, columns=["s", "asymmetry", "min_eig", "max_eig", "num_rank"])
+
+    return _grouped(vectors, run, "s long, asymmetry double, min_eig double, max_eig double, num_rank int")
+
+
+def surface_shape(vectors: DataFrame, rank: int, width: int, eta: float = 0.08) -> DataFrame:
+    """Scale tau = tr(A) / rank, distance of A / tau from the identity, and the leverage-weighted root mean square of the
+    log relative variance of coordinates in the leading reduced basis."""
+
+    def run(t, month, psi):
+        c, rho, _, _ = la.reference(psi)
+        values, v = la.psd_eigen(c)
+        base = v[:, :rank] * np.sqrt(values[:rank])
+        z = psi @ v[:, :rank] / np.sqrt(values[:rank] + rho)
+        lever = (base**2).sum(axis=1)
+        w = la.resolvent_weights(month, eta)
+        rows = []
+        for s in range(len(t)):
+            a = (z * w[s][:, None]).T @ z
+            tau = max(float(np.trace(a)) / rank, 1e-12)
+            shape = a / tau
+            rel = np.maximum(np.einsum("kr,rs,ks->k", base, shape, base), 1e-14) / np.maximum(lever, 1e-14)
+            rows.append((t[s], tau, float(np.linalg.norm(shape - np.eye(rank))), float(np.sqrt((lever / lever.sum() * np.log(rel) ** 2).sum()))))
+        return pd.DataFrame(rows, columns=["s", "tau", "shape_distance", "surface_rms"])
+
+    return _grouped(vectors, run, "s long, tau double, shape_distance double, surface_rms double")
+
+
+def severe_capture(vectors: DataFrame, thresholds: tuple[float, ...], rank: int = 5, eta: float = 0.08) -> DataFrame:
+    """For each state and threshold: the number of severe directions and the share of their space that the leading
+    `rank` reference directions capture; null where there is none."""
+
+    def run(t, month, psi):
+        c, rho, d, _ = la.reference(psi)
+        values, v = la.psd_eigen(c)
+        z = psi @ v / np.sqrt(values + rho)
+        w = la.resolvent_weights(month, eta)
+        rows = []
+        for s in range(len(t)):
+            x, u = np.linalg.eigh(la.sym((z * w[s][:, None]).T @ z))
+            for thr in thresholds:
+                some = u[:, x >= thr - 5e-8]
+                n = some.shape[1]
+                rows.append((t[s], thr, n, float((some[:rank] ** 2).sum() / n) if n else None))
+        return pd.DataFrame(rows, columns=["s", "threshold", "n_severe", "capture"])
+
+    return _grouped(vectors, run, "s long, threshold double, n_severe int, capture double")
+
+
+def eta_sensitivity(vectors: DataFrame, chosen: float, etas: tuple[float, ...], rank: int = 5, lam: float = 1.0) -> DataFrame:
+    """The chosen eta and its neighbours at least 1.5 times away: median effective size and largest rank-R error."""
+
+    def run(t, month, psi):
+        lower, upper = [e for e in etas if e < chosen / 1.5], [e for e in etas if e > chosen * 1.5]
+        roles = [("selected", chosen)] + [("more_smoothed", max(lower))] * bool(lower) + [("less_smoothed", min(upper))] * bool(upper)
+        c, rho, d, d_rho = la.reference(psi)
+        values, v = la.psd_eigen(c)
+        z = psi @ v / np.sqrt(values + rho)
+        q = values / (values + rho) / d_rho
+        rows = []
+        for role, eta in roles:
+            w = la.resolvent_weights(month, eta, balance=False)
+            worst = 0.0
+            for s in range(len(t)):
+                a = (z * w[s][:, None]).T @ z
+                p, r = len(a), min(rank, len(a))
+                exact = np.trace(np.diag(q) @ a @ np.linalg.inv(lam * np.eye(p) + a))
+                part = np.trace(np.diag(q[:r]) @ a[:r, :r] @ np.linalg.inv(lam * np.eye(r) + a[:r, :r]))
+                worst = max(worst, abs(float(exact - part)))
+            rows.append((role, eta, float(np.median(1 / (w**2).sum(axis=1))), worst))
+        return pd.DataFrame(rows, columns=["role", "eta", "median_ess", "max_error"])
+
+    return _grouped(vectors, run, "role string, eta double, median_ess double, max_error double")
+
+
+def structural_rank(vectors: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0.95, 0.99)) -> DataFrame:
+    """Singular values of the scores: how many carry each share of the total energy."""
+
+    def run(t, month, psi):
+        e = np.linalg.svd(psi, compute_uv=False) ** 2
+        share = np.cumsum(e) / e.sum()
+        return pd.DataFrame({"level": levels, "directions": [int(np.searchsorted(share, x - 1e-12) + 1) for x in levels]})
+
+    return _grouped(vectors, run, "level double, directions int")

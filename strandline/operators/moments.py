@@ -41,6 +41,14 @@ def kernel(places: DataFrame, kind: str, width: float) -> DataFrame:
     return raw.select("variant", "s", "t", F.when(total > 0, F.col("r") / total).otherwise((F.col("s") == F.col("t")).cast("double")).alias("w"))
 
 
+def state_kernel(states: DataFrame, value: str, width: float) -> DataFrame:
+    """Row-normalised Gaussian weights in the distance of a one-dimensional state(variant, t, value)."""
+    a = states.select("variant", F.col("t").alias("s"), F.col(value).alias("_a"))
+    d = (F.col("_a") - F.col(value)) / width
+    raw = a.join(states.select("variant", "t", value), "variant").withColumn("r", F.exp(-d * d / 2))
+    return raw.select("variant", "s", "t", (F.col("r") / F.sum("r").over(Window.partitionBy("variant", "s"))).alias("w"))
+
+
 def weight_diagnostics(w: DataFrame) -> DataFrame:
     """For each variant: smallest and largest weight, largest error of row and column sums, mean effective size."""
     rows = w.groupBy("variant", "s").agg(F.sum("w").alias("r"), (1 / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.min("w").alias("lo"), F.max("w").alias("hi"))

@@ -15,9 +15,10 @@ def melt(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scaled_shocks(panel: DataFrame, shock: str, control: str | None) -> DataFrame:
-    """m and c: shock and control over their population standard deviation on the whole completed panel."""
+    """m and c: shock and control over their population standard deviation on the whole completed panel;
+    a constant one is left as it is."""
     w = Window.partitionBy(*KEY)
-    scale = lambda c: F.col(c) / F.stddev_pop(c).over(w)
+    scale = lambda c: F.col(c) / F.coalesce(F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(1.0))
     return panel.select("variant", "t", "n", "date", scale(shock).alias("m"), (scale(control) if control else F.lit(0.0)).alias("c"))
 
 
@@ -83,6 +84,16 @@ def iv_scores(panel: DataFrame, outcomes: list[str], policy: str, instrument: st
     return r.select("variant", "t", "date", "h", "j", "k", (rf + fs).alias("psi"), rf.alias("psi_rf"), fs.alias("psi_fs"))
 
 
+def exposures(panel: DataFrame, outcomes: list[str], policy: str, instrument: str, control: str, horizon: int = 3, lag: int = 2) -> DataFrame:
+    """(variant, t, a2): squared exposure (z / q)^2 of each scored month."""
+    base = panel.select("variant", "t", "n", "date", F.col(policy).alias("m"), F.col(control).alias("c"), F.col(instrument).alias("z0"))
+    ok = valid_places(base.filter("z0 IS NOT NULL"), melt(panel, outcomes), len(outcomes), horizon, lag).select("variant", "t")
+    w = Window.partitionBy("variant")
+    x = base.join(ok, ["variant", "t"], "left_semi").withColumn("x", _residual("m", "c", w)).withColumn("z", _residual("z0", "c", w))
+    q = F.avg(F.col("z") * F.col("x")).over(w)
+    return x.select("variant", "t", (F.col("z") * F.col("z") / (q * q)).alias("a2"))
+
+
 def first_stage(panel: DataFrame, policy: str, instrument: str, weak: float = 10.0) -> DataFrame:
     """q, pi, R2, F, corr and the weak flag of a demeaned first stage for each variant."""
     w = Window.partitionBy("variant")
