@@ -98,11 +98,9 @@ def variant_scores(spark, sf):
     p = calendar.circular_shift(p, "shock", 7, ["variant"])
     p = p.join(calendar.permuted(p, "shock", 17, ["variant"]).select("variant", "t", "placebo"), ["variant", "t"])
     p = scores.orthogonalised(p, "shock", "control")
-    frames = [p.select(F.lit(n).alias("variant"), "t", "n", "date", *OUTCOMES, F.col(s).alias("s"), (F.col(c) if c else F.lit(0.0)).alias("c")) for n, s, c, _ in VARIANTS]
-    every = frames[0]
-    for f in frames[1:]:
-        every = every.unionByName(f)
-    made = scores.fwl_scores(every.withColumn("c", F.coalesce("c", F.lit(0.0))), OUTCOMES, "s", "c", HORIZON, LAG)
+    picked = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(s).alias("s"), (F.col(c) if c else F.lit(0.0)).alias("c")) for n, s, c, _ in VARIANTS])
+    every = p.select("t", "n", "date", *OUTCOMES, F.explode(picked).alias("v")).select("v.variant", "t", "n", "date", *OUTCOMES, "v.s", "v.c")
+    made = scores.fwl_scores(every, OUTCOMES, "s", "c", HORIZON, LAG)
     weight = scores.block_traces(made, WIDTH).select("variant", "j", "weight")
     trace = [n for n, *_, t in VARIANTS if t == "trace"]
     return made.join(weight, ["variant", "j"]).withColumn("psi", F.when(F.col("variant").isin(trace), F.col("psi") * F.col("weight")).otherwise(F.col("psi"))).drop("weight")
