@@ -214,8 +214,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = sum((F.bit_count(F.element_at("fu", k + 1).bitwiseXOR(F.element_at("fv", k + 1))) for k in range(WORDS64)), F.lit(0))
     alike = pairs.join(fu, "u").join(fv, "v").filter(apart <= most_bits(similarity)).select("u", "v")
     found = checkpointed(components(covered.unionByName(same).unionByName(alike).distinct()))
-    named = keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = checkpointed(keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
+    whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # so that a large component's join may be split
     classes = checkpointed(named.join(whole, "component").select("key", "component_id"))
     return ledger.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "component_id")
 
