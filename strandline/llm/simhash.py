@@ -138,15 +138,21 @@ def sketch(text: str | None, words: int = 5, every: int = 12) -> tuple[list[int]
     Segments end after words where a hash of the last two falls below a 1 / `every` share of its range, so an edit
     changes the segments it touches and no others. Segments shorter than `words` are left out, unless that is all.
     """
+    return _sketch(text, words, every)[:2]
+
+
+def _sketch(text: str | None, words: int, every: int = 12) -> tuple[list[int], list[int], np.ndarray]:
+    """What `sketch` gives, and the sorted distinct hashes of the text's shingles."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(parts)
     if not n:
-        return [0] * WORDS64, []
+        return [0] * WORDS64, [], np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if n >= words else iter([b" ".join(parts)])
-    total, counts, left = max(n - words + 1, 1), np.zeros((WORDS64, BITS), np.int64), max(n - words + 1, 1)
+    total, counts, left, seen = max(n - words + 1, 1), np.zeros((WORDS64, BITS), np.int64), max(n - words + 1, 1), []
     while left:
         size = min(left, _CHUNK)
         h = np.fromiter((xxhash.xxh64_intdigest(next(shingles), 42) for _ in range(size)), np.uint64, size)
+        seen.append(np.unique(h))
         for k in range(WORDS64):
             x = _mix(h * _ODD[k]) if k else h
             counts[k] += np.unpackbits(x.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -161,17 +167,61 @@ def sketch(text: str | None, words: int = 5, every: int = 12) -> tuple[list[int]
     sums = np.add.reduceat(_mix(w + (place.astype(np.uint64) + np.uint64(1)) * _ODD[2]), starts)
     keep = ends - starts >= words
     segments = np.unique(sums[keep] if keep.any() else sums)
-    return fp.tolist(), segments.tolist()
+    return fp.tolist(), segments.tolist(), seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+
+
+#: MinHash bands: a pair of Jaccard similarity s agrees on none of them with probability (1 - s^ROWS)^BANDS, 1.3e-7 at 0.8.
+ROWS, BANDS = 5, 40
+_MIN = _mix(np.arange(101, 101 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys over ROWS MinHashes each of a set of shingle hashes; an empty set has none."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    low = np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
+    for lo in range(0, len(shingles), 256):
+        low = np.minimum(low, (shingles[lo : lo + 256, None] * _MIN).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in low.reshape(ROWS, BANDS):
+        keys = _mix(keys ^ row) * _ODD[3]
+    return keys
 
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                some = [sketch(t.as_py(), words) for t in b.column(1).slice(lo, 512)]
-                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _ in some], pa.list_(pa.int64()))
-                segs = pa.array([np.array(s, np.uint64).view(np.int64) for _, s in some], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), fps, segs], names=["id", "f", "segments"])
+                some = [_sketch(t.as_py(), words) for t in b.column(1).slice(lo, 512)]
+                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _, _ in some], pa.list_(pa.int64()))
+                segs = pa.array([np.array(s, np.uint64).view(np.int64) for _, s, _ in some], pa.list_(pa.int64()))
+                n = pa.array([len(h) for _, _, h in some], pa.int64())
+                keys = pa.array([bands(h).view(np.int64) for _, _, h in some], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), fps, segs, n, keys], names=["id", "f", "segments", "n", "bands"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                some = [_sketch(t.as_py(), words) for t in b.column(0).slice(lo, 512)]
+                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _, _ in some], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([fps, pa.array([h.tobytes() for _, _, h in some], pa.binary())], names=["f", "shingles"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -183,19 +233,25 @@ def most_bits(similarity: float, bits: int = BITS * WORDS64, slack: float = 1.0)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) over links of two kinds: first 64 fingerprint bits within the covering radius; and sharing a
-    segment with the wide fingerprints no further apart than `similarity` on word shingles lets expect.
+    """(id, component_id) over links of three kinds: first 64 fingerprint bits within the covering radius; sharing a
+    segment with the wide fingerprints no further apart than `similarity` on word shingles lets expect; and a Jaccard
+    similarity of `similarity` or more on the sets of word shingles, counted in full.
 
     In each group that shares a segment every member is compared with two of them, the ends of an order that differs from
     segment to segment; so a passage that a third of all documents share gives two rows for each of them, and texts
     with many segments in common meet over many ends. Texts of equal wide fingerprints are
     one key. Null, empty and word-free texts are one class.
+
+    Links of the third kind are sought among all pairs that agree on a MinHash band, whatever the group's size; see
+    `BANDS` for the share of pairs that agree on none. Only pairs whose two texts are in different components so far
+    are compared: first with each group's two ends, which joins large families, then every pair that is left. So
+    the last step is quadratic in the unlike texts of a group that agree on all of a band's MinHashes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     ledger = checkpointed(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_sketches(words), f"id {kind}, f array<long>, segments array<long>")
-        .select("id", F.xxhash64("f").alias("key"), "f", "segments")
+        .mapInArrow(_sketches(words), f"id {kind}, f array<long>, segments array<long>, n long, bands array<long>")
+        .select("id", F.xxhash64("f").alias("key"), "f", "segments", "n", "bands")
     )
     keys = checkpointed(ledger.groupBy("key", "f").agg(F.min("id").alias("rep")))
     # Covering links on the first 64 bits, between the smallest keys of each value.
@@ -214,6 +270,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = sum((F.bit_count(F.element_at("fu", k + 1).bitwiseXOR(F.element_at("fv", k + 1))) for k in range(WORDS64)), F.lit(0))
     alike = pairs.join(fu, "u").join(fv, "v").filter(apart <= most_bits(similarity)).select("u", "v")
     found = checkpointed(components(covered.unionByName(same).unionByName(alike).distinct()))
+    # Links by shingles, between components.
+    banded = ledger.select("key", "n", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("band")
+    banded = checkpointed(banded.join(crowded, "band"))
+    sets = None
+    for ends in (True, False):
+        placed = banded.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
+        placed = checkpointed(placed.join(mixed, "band"))
+        one = placed.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+        if ends:
+            end = F.struct(F.col("key").bitwiseXOR(F.col("band")), "key", "n", "component")
+            other = placed.groupBy("band").agg(F.array(F.min(end), F.max(end)).alias("e")).select("band", F.explode("e").alias("e")).select("band", F.col("e.key").alias("v"), F.col("e.n").alias("nv"), F.col("e.component").alias("cv"))
+            order = F.lit(True)
+        else:
+            other = one.toDF("band", "v", "nv", "cv")
+            order = F.col("cu") > F.col("cv")
+        sized = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
+        some = one.join(other, "band").filter(order & (F.col("cu") != F.col("cv")) & sized)
+        some = checkpointed(some.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if some.isEmpty():
+            continue
+        if sets is None:  # once, as it moves the texts: of all keys that share a band with another component
+            wanted = placed.select("key").distinct()
+            asked = ledger.join(wanted, "key", "left_semi").select(F.col("id").alias("_asked")).distinct()
+            texts = docs.join(asked, docs[id_col].eqNullSafe(F.col("_asked")), "left_semi").select(F.col(text_col).cast("string").alias("text"))
+            made = texts.mapInArrow(_sets(words), "f array<long>, shingles binary").select(F.xxhash64("f").alias("key"), "shingles")
+            sets = checkpointed(made.join(wanted, "key", "left_semi").distinct())
+        whole = some.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        close = whole.mapInArrow(_similar(similarity), "u long, v long").distinct()
+        found = checkpointed(components(close.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v"))))
     named = checkpointed(keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
     whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # so that a large component's join may be split
     classes = checkpointed(named.join(whole, "component").select("key", "component_id"))

@@ -109,3 +109,38 @@ def test_keep_one(corpus, tricky, nothing):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == corpus.columns
     assert simhash.keep_one(tricky).columns == tricky.columns
     assert simhash.keep_one(nothing).count() == 0 and simhash.simhash_components(nothing).count() == 0
+
+
+def jaccard_pairs(texts, words=5, least=0.8):
+    """All pairs (i, j), i < j, of Jaccard similarity `least` or more on the sets of word shingles."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or {t.lower()})
+    return [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def together(spark, texts):
+    """(pairs of similarity 0.8 or more, those of them in one component)"""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    pairs = jaccard_pairs(texts)
+    return len(pairs), sum(got[i] == got[j] for i, j in pairs)
+
+
+def test_pairs_meet_in_hot_segments(spark):
+    rng = random.Random(21)  # every segment belongs to a passage that some 200 unlike texts hold
+    after = " ".join(f"after{i}" for i in range(30))
+    passages = []
+    for k in range(20):
+        some = " ".join(f"p{k}w{i}" for i in range(30))
+        tails = (f"{some} end tail{i}" for i in itertools.count())
+        passages.append(next(t for t in tails if set(simhash.sketch(t)[1]) <= set(simhash.sketch(f"{t} {after}")[1])))  # ends with a segment
+    texts = []
+    for _ in range(250):
+        words = " ".join(rng.sample(passages, 8)).split()
+        texts.append(" ".join(words))
+        words[rng.randrange(len(words))] = "edited"
+        texts.append(" ".join(words))
+    n, met = together(spark, texts)
+    assert n >= 250 and met == n, (n, met)
