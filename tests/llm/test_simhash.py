@@ -144,3 +144,14 @@ def test_pairs_meet_in_hot_segments(spark):
         texts.append(" ".join(words))
     n, met = together(spark, texts)
     assert n >= 250 and met == n, (n, met)
+
+
+def test_pairs_of_short_texts_meet(spark):
+    rng = random.Random(22)
+    texts = []
+    for n in (20, 25, 30, 40):
+        for _ in range(60):
+            words = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, "more"])]
+    n, met = together(spark, texts)
+    assert n == 240 and met == n, (n, met)
