@@ -97,20 +97,18 @@ def _pack(path: str, capacity: int, end_id: int | None, pad_id: int, block_token
         part = TaskContext.get().partitionId() << 40
         block, held, used = [], 0, 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                keys = b.column(0).slice(lo, 256).to_pylist()
-                for key, raw in zip(keys, tok.encode_batch(b.column(1).slice(lo, 256).to_pylist())):
-                    ids = np.frombuffer(raw, "<u4")
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    for start, n in cut(len(ids), capacity):
-                        block.append((key, start, ids[start : start + n]))
-                    held += len(ids)
-                    if held >= block_tokens:
-                        done = rows(block, part + used)
-                        used += done.num_rows
-                        block, held = [], 0
-                        yield done
+            for key, raw in zip(b.column(0).to_pylist(), tok.encode_batch(b.column(1))):
+                ids = np.frombuffer(raw, "<u4")
+                if end_id is not None:
+                    ids = np.append(ids, np.uint32(end_id))
+                for start, n in cut(len(ids), capacity):
+                    block.append((key, start, ids[start : start + n]))
+                held += len(ids)
+                if held >= block_tokens:
+                    done = rows(block, part + used)
+                    used += done.num_rows
+                    block, held = [], 0
+                    yield done
         if block:
             yield rows(block, part + used)
 

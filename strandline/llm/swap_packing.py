@@ -13,8 +13,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,63 +23,101 @@ from .common import checkpointed
 from .tokens import cut, piece_tokenizer
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 8_000) -> np.ndarray:
-    """bins (of each piece) improved; never more bins than before. max_steps bounds the exchanges of one block."""
+def _choices(lengths: np.ndarray, own: np.ndarray, capacity: int) -> tuple[np.ndarray, dict[int, list[int]], np.ndarray, dict[int, list[int]]]:
+    """What the pieces `own` of one bin can give, singly and in pairs: for each size the largest total within it, and
+    the pieces of each total. Pieces of equal length are alike, so a bin has few lengths and all pairs are tried."""
+    of_length: dict[int, list[int]] = {}
+    for i in own.tolist():
+        of_length.setdefault(int(lengths[i]), []).append(i)
+    one = {n: some[:1] for n, some in of_length.items()}
+    two: dict[int, list[int]] = {}
+    known = sorted(of_length)
+    for k, n in enumerate(known):
+        if len(of_length[n]) > 1:
+            two.setdefault(2 * n, of_length[n][:2])
+        for m in known[k + 1 :]:
+            two.setdefault(n + m, [of_length[n][0], of_length[m][0]])
+    within = []
+    for some in (one, two):
+        least = np.zeros(capacity + 1, np.int64)
+        totals = np.array([t for t in some if t <= capacity], np.int64)
+        least[totals] = totals
+        within.append(np.maximum.accumulate(least))
+    return within[0], one, within[1], two
+
+
+def _pairs(lengths: np.ndarray, bins: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of `pieces` that lie in one bin, but for one of each two lengths only."""
+    order = pieces[np.lexsort((lengths[pieces], bins[pieces]))]
+    b, n = bins[order], lengths[order]
+    same = (b[1:] == b[:-1]) & (n[1:] == n[:-1])
+    third = np.r_[False, False, same[1:] & same[:-1]] if len(order) > 2 else np.zeros(len(order), bool)
+    order = order[~third]
+    b, first, second, step = bins[order], [], [], 1
+    while step < len(order) and (hit := np.flatnonzero(b[step:] == b[:-step])).size:
+        first.append(order[hit])
+        second.append(order[hit + step])
+        step += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate(first or [none]), np.concatenate(second or [none])
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int | None = None) -> np.ndarray:
+    """bins (of each piece) improved; never more bins than before. Every exchange raises the sum of squared fills, so
+    the search ends by itself, where no move and no exchange of the four kinds is left or at the lower bound."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = math.ceil(lengths.sum() / capacity)
     stuck = np.zeros(len(fill), bool)
-    for _ in range(max_steps):
+    used, steps, pairs = np.count_nonzero(fill), 0, None
+    while used > least and (max_steps is None or steps < max_steps):
         open_ = (fill > 0) & (fill < capacity)
-        if np.count_nonzero(fill) <= least or not (open_ & ~stuck).any():
+        if not (open_ & ~stuck).any():
             break
         a = int(np.where(open_ & ~stuck, fill, capacity + 1).argmin())
         own = np.flatnonzero(bins == a)
-        rest = np.flatnonzero(open_[bins] & (bins != a) & (fill[bins] >= fill[a]))
-        if not len(rest):
+        targets = np.flatnonzero(open_ & (fill >= fill[a]))
+        targets = targets[targets != a]
+        out = back = None
+        if len(targets):
+            within_one, one, within_two, two = _choices(lengths, own, capacity)
+            room = capacity - fill[targets]
+            n = int(within_one[room.max()])
+            if n:  # a move, to the tightest bin
+                fits = np.flatnonzero(room >= n)
+                out, back, b = one[n], [], int(targets[fits[room[fits].argmin()]])
+            else:
+                ok = np.zeros(len(fill), bool)
+                ok[targets] = True
+                rest = np.flatnonzero(ok[bins])
+                size = lengths[rest]
+                reach = size + capacity - fill[bins[rest]]
+                best = 0
+                for within, some in ((within_one, one), (within_two, two)):  # one or two of this bin for one of another
+                    gain = within[reach] - size
+                    k = int(gain.argmax())
+                    if gain[k] > best:
+                        best = int(gain[k])
+                        out, back, b = some[int(within[reach[k]])], [int(rest[k])], int(bins[rest[k]])
+                if not best:  # one of this bin for two of another
+                    if pairs is None:
+                        pairs = _pairs(lengths, bins, np.flatnonzero(open_[bins]))
+                    x, y = pairs
+                    total = lengths[x] + lengths[y]
+                    gain = np.where(ok[bins[x]], within_one[np.minimum(total + capacity - fill[bins[x]], capacity)] - total, 0)
+                    if len(gain) and gain.max() > 0:
+                        k = int(gain.argmax())
+                        out, back, b = one[int(total[k] + gain[k])], [int(x[k]), int(y[k])], int(bins[x[k]])
+        if out is None:
             stuck[a] = True
             continue
-        gap, size, best = capacity - fill[bins[rest]], lengths[rest], (0, None)
-        targets = np.unique(bins[rest])
-        room = capacity - fill[targets]
-        for x in own:  # moves, then one for one
-            fits = np.flatnonzero(room >= lengths[x])
-            if len(fits):
-                best = (int(lengths[x]), ([x], [], int(targets[fits[room[fits].argmin()]])))
-                break
-            d = lengths[x] - size
-            ok = np.where((d > 0) & (d <= gap), d, 0)
-            k = int(ok.argmax())
-            if ok[k] > best[0]:
-                best = (int(ok[k]), ([x], [rest[k]], int(bins[rest[k]])))
-        if best[1] is None or best[1][1]:
-            few = own[np.argsort(-lengths[own], kind="stable")][:24]
-            for i, x in enumerate(few):  # two of this bin for one of the other
-                for y in few[i + 1 :]:
-                    d = lengths[x] + lengths[y] - size
-                    ok = np.where((d > 0) & (d <= gap), d, 0)
-                    k = int(ok.argmax())
-                    if ok[k] > best[0]:
-                        best = (int(ok[k]), ([x, y], [rest[k]], int(bins[rest[k]])))
-            if best[1] is None:  # one of this bin for two of the other
-                order = np.lexsort((lengths[rest], bins[rest]))
-                r, one = rest[order], size[order]
-                same = bins[r[:-1]] == bins[r[1:]]
-                pair, at = (one[:-1] + one[1:])[same], np.flatnonzero(same)
-                for x in own:
-                    d = lengths[x] - pair
-                    ok = np.where((d > 0) & (d <= gap[order][at]), d, 0)
-                    if len(ok) and ok.max() > best[0]:
-                        k = int(ok.argmax())
-                        best = (int(ok[k]), ([x], [r[at[k]], r[at[k] + 1]], int(bins[r[at[k]]])))
-        if best[1] is None:
-            stuck[a] = True
-            continue
-        out, back, b = best[1]
+        moved = int(lengths[out].sum() - lengths[back].sum())
         bins[out], bins[back] = b, a
-        fill[a] -= best[0]
-        fill[b] += best[0]
+        fill[a] -= moved
+        fill[b] += moved
+        used -= fill[a] == 0
         stuck[:] = False
+        steps, pairs = steps + 1, None
     return bins
 
 
@@ -93,17 +131,25 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = piece_tokenizer(path), int(end_id).to_bytes(4, "little")
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                row, piece, starts, lengths, crc = [], [], [], [], []
-                for i, raw in enumerate(tok.encode_batch(b.column(1).slice(lo, 256).to_pylist())):
-                    raw += end
-                    for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
-                        row.append(lo + i)
-                        piece.append(k)
-                        starts.append(start)
-                        lengths.append(n)
-                        crc.append(zlib.crc32(raw[4 * start : 4 * (start + n)]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            row, piece, starts, lengths, crc = [], [], [], [], []
+
+            def some() -> pa.RecordBatch:
+                made = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
+                return pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+            for i, raw in enumerate(tok.encode_batch(b.column(1))):
+                raw += end
+                for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
+                    row.append(i)
+                    piece.append(k)
+                    starts.append(start)
+                    lengths.append(n)
+                    crc.append(zlib.crc32(raw[4 * start : 4 * (start + n)]))
+                if len(row) >= 65_536:
+                    yield some()
+                    for x in (row, piece, starts, lengths, crc):
+                        x.clear()
+            yield some()
 
     return run
 
@@ -127,11 +173,18 @@ def swap_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     dealt = found.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        # The order of arrival differs between attempts of a task; this one doesn't.
-        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], kind="stable").reset_index(drop=True)
-        pdf["sequence_id"] = pack_block(pdf["length"].to_numpy(), capacity) + (int(pdf["block"].iloc[0]) << 32)
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        return pdf[[f.name for f in schema]]
-
-    return dealt.groupBy("block").applyInPandas(pack, schema)
+    def pack(block: pa.Table) -> pa.Table:
+        # The order of arrival differs between attempts of a task; this one doesn't. Ids are only taken along.
+        ties = block.set_column(block.schema.get_field_index("doc_id"), "doc_id", block["doc_id"].cast(pa.string()))
+        block = block.take(pc.sort_indices(ties, sort_keys=[(c, "ascending") for c in ("length", "ids_crc32", "doc_id", "piece")]))
+        lengths = block["length"].to_numpy()
+        place = pack_block(lengths, capacity)
+        order = np.argsort(place, kind="stable")
+        before = np.cumsum(lengths[order]) - lengths[order]
+        heads = np.r_[True, np.diff(place[order]) > 0]
+        offset = np.empty(len(lengths), np.int64)
+        offset[order] = before - np.maximum.accumulate(np.where(heads, before, 0))
+        number = place + (block["block"][0].as_py() << 32)
+        return block.drop_columns(["block"]).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    return dealt.groupBy("block").applyInArrow(pack, schema)

@@ -164,3 +164,77 @@ def test_swap_packing_holds_every_piece(tricky, corpus, nothing):
             parts.sort()
             assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
     assert swap_packing.swap_packing(nothing, JSON).count() == 0
+
+
+def test_large_ids_beside_null_ids_stay(spark):
+    big = [9007199254740993, 9007199254740995, None, 3]
+    df = spark.createDataFrame([(i, f"text number {i}") for i in big], "doc_id long, text string").coalesce(1)
+    got = swap_packing.swap_packing(df, JSON).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(big, key=str)
+
+
+def exchanges(lengths, bins, capacity):
+    """Every move and exchange of one or two pieces of a bin for none to two of a bin as full, that raises its fill."""
+    from itertools import combinations
+
+    fill = {b: sum(n for n, x in zip(lengths, bins) if x == b) for b in set(bins)}
+    for a in fill:
+        for b in fill:
+            if a == b or fill[a] > fill[b] or capacity in (fill[a], fill[b]):
+                continue
+            own, other = ([i for i, x in enumerate(bins) if x == k] for k in (a, b))
+            for m, n in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                for out in combinations(own, m):
+                    for back in combinations(other, n):
+                        gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                        if 0 < gain <= capacity - fill[b]:
+                            yield a, b, out, back
+
+
+def test_local_search_ends_where_nothing_helps():
+    rng = np.random.default_rng(5)
+    for capacity in (12, 40):
+        for _ in range(40):
+            lengths = rng.integers(1, capacity, 24)
+            start = np.array(bfd.best_fit_decreasing(lengths.tolist(), capacity))
+            bins = swap_packing.local_search(lengths, start, capacity)
+            least = -(-int(lengths.sum()) // capacity)
+            if len(set(bins.tolist())) > least:
+                assert not any(exchanges(lengths.tolist(), bins.tolist(), capacity))
+
+
+def test_local_search_from_a_bad_start():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        lengths = rng.integers(1, 30, 40)
+        bins = swap_packing.local_search(lengths, np.arange(40), 32)
+        assert np.bincount(bins, weights=lengths).max() <= 32
+        least = -(-int(lengths.sum()) // 32)
+        assert len(set(bins.tolist())) == least or not any(exchanges(lengths.tolist(), bins.tolist(), 32))
+
+
+def test_words_at_every_edge_equal_the_library():
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    rng = random.Random(8)
+    parts = ["a", "the", " ", " ", "\n", "\n", "\t", "'s", "'", "23", ".", "é", "漢", "\x85", "\x1c", "ing", "aaa", "\r\n", "  ", "\n\n", " ", "word" * 7]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(8000)] + [None]
+    for slots, block in ((1 << 16, 1 << 20), (4, 100)):
+        tok = tokens.PieceTokenizer(JSON, slots, block)
+        for text, raw in zip(some, tok.encode_batch(some), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_every_merge_of_the_file_encodes_to_itself():
+    """What the use of ranks for a list of merges rests on."""
+    import json
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    with open(JSON, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters = tokens._byte_of_letter()
+    for token, number in model["vocab"].items():
+        raw = bytes(letters.get(c, 0) for c in token)
+        if raw.isascii() and raw.removeprefix(b" ").isalpha():
+            assert t.encode(raw.decode(), add_special_tokens=False).ids == [number]
