@@ -7,6 +7,7 @@ corpus of events below it. Parallelism comes from variants, draws, states and hy
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -291,70 +292,175 @@ def robust_smoother(vectors: DataFrame, rank: int = 2, rounds: int = 4, nu: floa
     weights, backward smoother and EM-style updates; decoded by projection to positive matrices, tau = tr(A) / rank."""
 
     def run(t, month, psi):
-        c = psi.T @ psi / len(psi)
-        rho = 1e-8 * np.trace(c) / len(c)
-        values, v = la.psd_eigen(c)
-        z = psi @ v[:, :rank] / np.sqrt(values[:rank] + rho)
-        y = la.half_vec(z[:, :, None] * z[:, None, :])
-        states = em_smooth(y, rounds, nu)[0]
+        z = _factors(psi, rank)
+        states = em_smooth(la.half_vec(z[:, :, None] * z[:, None, :]), rounds, nu, rank).xs
         a = np.stack([la.apply_spectral(m, lambda x: np.clip(x, 0, None)) for m in la.from_half_vec(states, rank)])
         return pd.DataFrame({"t": t, "tau": np.trace(a, axis1=1, axis2=2) / rank, "lead": np.linalg.eigvalsh(a)[:, -1]})
 
     return _grouped(vectors, run, "t long, tau double, lead double")
 
 
-def em_smooth(y: np.ndarray, rounds: int, nu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smoothed states of y_t = x_t + noise, x_t a shrunk VAR(1) about a mean; and F, Q, R, smoothed covariances."""
-    mu = y.mean(axis=0)
-    d = y - mu
-    n, p = d.shape
-    s = d.T @ d / n + 1e-12 * np.eye(p)
-    f = np.linalg.solve(d[:-1].T @ d[:-1] + 0.5 * np.eye(p), d[:-1].T @ d[1:]).T
+def log_smoother(vectors: DataFrame, alpha: float, rank: int = 2, rounds: int = 4, nu: float = 7.0) -> DataFrame:
+    """As `robust_smoother` on logarithmic observations, decoded by the matrix exponential: every state is positive."""
+
+    def run(t, month, psi):
+        z = _factors(psi, rank)
+        a = log_states(em_smooth(log_observations(z, alpha), rounds, nu, rank).xs, rank)
+        return pd.DataFrame({"t": t, "tau": np.trace(a, axis1=1, axis2=2) / rank, "lead": np.linalg.eigvalsh(a)[:, -1]})
+
+    return _grouped(vectors, run, "t long, tau double, lead double")
 
-    def shrunk(f):
-        diag = np.diag(np.diag(f))
-        f = diag + 0.15 * (f - diag)
-        f = 0.9 * f + 0.1 * np.diag(np.diag(f))
-        radius = np.abs(np.linalg.eigvals(f)).max()
-        return f * min(1.0, 0.965 / max(radius, 1e-12))
 
-    f = shrunk(f)
-    q, r = 0.35 * s + 1e-5 * np.eye(p), 0.65 * s + 1e-5 * np.eye(p)
+class StateSpace(NamedTuple):
+    """A fitted model y_t = x_t + noise, x_t = mu + f (x_{t-1} - mu) + noise: filtered (xf, pf), predicted (xp, pp)
+    and smoothed (xs, ps) moments, the weights of the observations and the log-likelihoods."""
+
+    mu: np.ndarray
+    f: np.ndarray
+    q: np.ndarray
+    r: np.ndarray
+    xf: np.ndarray
+    pf: np.ndarray
+    xp: np.ndarray
+    pp: np.ndarray
+    xs: np.ndarray
+    ps: np.ndarray
+    w: np.ndarray
+    gaussian: float
+    robust: float
+
+
+def shrunk_transition(f: np.ndarray, rank: int, cross: float = 0.15, diag: float = 0.10, most: float = 0.965) -> np.ndarray:
+    """Entries between the first `rank` coordinates (diagonal of the half-vectorised matrix) and the others are
+    shrunk by `cross`, all off-diagonal ones by `diag`; the spectral radius is capped at `most`."""
+    first = np.arange(len(f)) < rank
+    f = np.where(first[:, None] == first[None, :], f, cross * f)
+    f = (1 - diag) * f + diag * np.diag(np.diag(f))
+    return f * min(1.0, most / max(float(np.abs(np.linalg.eigvals(f)).max()), 1e-300))
+
+
+def em_smooth(y: np.ndarray, rounds: int, nu: float | None, rank: int, weights: np.ndarray | None = None) -> StateSpace:
+    """The robust state space of half-vectorised observations after `rounds` of updates. `weights` of the months have
+    mean one in the objective; by default all count alike."""
+    n, p = y.shape
+    ow = np.ones(n) if weights is None else weights / weights.mean()
+    tw = ow[1:]
+    moment = lambda e, w: la.regularised((e.T * w) @ e / w.sum())
+    mu = ow @ y / ow.sum()
+    x0, x1 = y[:-1] - mu, y[1:] - mu
+    f = shrunk_transition(np.linalg.solve((x0.T * tw) @ x0 + 0.5 * np.eye(p), (x0.T * tw) @ x1).T, rank)
+    e = x1 - x0 @ f.T
+    sigma = moment(e - tw @ e / tw.sum(), tw)
+    q, r = 0.35 * sigma + 1e-5 * np.eye(p), 0.65 * sigma + 1e-5 * np.eye(p)
+    base = moment(y - mu, ow)
+    now = smooth(y, mu, f, q, r, nu, ow)
     for _ in range(rounds):
-        x, cov, cross, w = smooth(d, f, q, r, nu)
-        p0 = cov.mean(axis=0)
-        f = shrunk(np.linalg.solve(x[:-1].T @ x[:-1] + cov[:-1].sum(axis=0) + 0.5 * np.eye(p), (x[1:].T @ x[:-1] + cross.sum(axis=0)).T).T)
-        e = x[1:] - x[:-1] @ f.T
-        q = la.sym(e.T @ e / len(e)) + 0.05 * p0 + 0.08 * s
-        o = d - x
-        r = la.sym((o * w[:, None]).T @ o / n) + 0.05 * p0 + 0.01 * s
-    x, cov, _, _ = smooth(d, f, q, r, nu)
-    return x + mu, f, q, r, cov
-
-
-def smooth(d: np.ndarray, f: np.ndarray, q: np.ndarray, r: np.ndarray, nu: float):
-    """Filter with observation weights clip((nu + p) / (nu + mahalanobis), 1/4, 1), then smooth backwards."""
-    n, p = d.shape
-    eye = np.eye(p)
+        xs, ps = now.xs, now.ps
+        mu = ow @ xs / ow.sum()
+        x0, x1 = xs[:-1] - mu, xs[1:] - mu
+        held = (x0.T * tw) @ x0 + np.tensordot(tw, ps[:-1], 1) + 0.5 * np.eye(p)
+        f = shrunk_transition(np.linalg.solve(la.sym(held), ((x1.T * tw) @ x0).T).T, rank)
+        e = x1 - x0 @ f.T
+        q = la.regularised((e.T * tw) @ e / tw.sum() + 0.05 * np.average(ps[1:], axis=0, weights=tw) + 0.08 * base)
+        o, w = y - xs, now.w * ow
+        r = la.regularised((o.T * w) @ o / w.sum() + 0.05 * np.average(ps, axis=0, weights=ow) + 0.01 * base)
+        now = smooth(y, mu, f, q, r, nu, ow)
+    return now
+
+
+def smooth(y: np.ndarray, mu: np.ndarray, f: np.ndarray, q: np.ndarray, r: np.ndarray, nu: float | None, ow: np.ndarray | None = None) -> StateSpace:
+    """Filter with observation weights clip((nu + p) / (nu + mahalanobis), 1/4, 1), then smooth backwards; without nu
+    all observations weigh one, which is the plain Kalman smoother."""
+    n, p = y.shape
+    ow, eye = np.ones(n) if ow is None else ow, np.eye(p)
     xf, pf, xp, pp, w = np.zeros((n, p)), np.zeros((n, p, p)), np.zeros((n, p)), np.zeros((n, p, p)), np.ones(n)
-    x, c = np.zeros(p), la.stationary_cov(f, q)
+    x, c, gaussian, robust = mu, la.stationary_cov(f, q), 0.0, 0.0
     for i in range(n):
-        x, c = (x, c) if i == 0 else (f @ x, la.sym(f @ c @ f.T + q))
+        if i:
+            x, c = mu + f @ (x - mu), la.sym(f @ c @ f.T + q)
         xp[i], pp[i] = x, c
-        e = d[i] - x
-        w[i] = np.clip((nu + p) / (nu + e @ np.linalg.solve(c + r, e)), 0.25, 1)
-        rt = r / w[i]
-        gain = np.linalg.solve(c + rt, c).T
+        e, s0 = y[i] - x, la.sym(c + r)
+        if nu is not None:
+            w[i] = np.clip((nu + p) / (nu + e @ np.linalg.solve(s0, e)), 0.25, 1)
+        rt = r / max(w[i] * ow[i], 1e-12)
+        gain = np.linalg.solve(la.sym(c + rt), c).T
+        gaussian += ow[i] * la.log_gaussian(e, la.sym(c + rt))
+        robust += ow[i] * (la.log_gaussian(e, s0) if nu is None else la.log_student(e, s0, nu))
         x = x + gain @ e
         c = la.sym((eye - gain) @ c @ (eye - gain).T + gain @ rt @ gain.T)
         xf[i], pf[i] = x, c
-    xs, ps, cross = xf.copy(), pf.copy(), np.zeros((n - 1, p, p))
+    xs, ps = xf.copy(), pf.copy()
     for i in range(n - 2, -1, -1):
         j = np.linalg.solve(pp[i + 1], f @ pf[i]).T
         xs[i] = xf[i] + j @ (xs[i + 1] - xp[i + 1])
         ps[i] = la.sym(pf[i] + j @ (ps[i + 1] - pp[i + 1]) @ j.T)
-        cross[i] = ps[i + 1] @ j.T
-    return xs, ps, cross, w
+    return StateSpace(mu, f, q, r, xf, pf, xp, pp, xs, ps, w, gaussian, robust)
+
+
+def backward_sampler(m: StateSpace):
+    """A function of a random generator that draws a whole path of states given all observations: the last state from
+    its filtered law, every other from its law given the state after it."""
+    n, p = m.xf.shape
+    gains, roots = np.zeros((n, p, p)), np.zeros((n, p, p))
+    roots[-1] = np.linalg.cholesky(la.regularised(m.pf[-1]))
+    for i in range(n - 1):
+        gains[i] = np.linalg.solve(m.pp[i + 1], m.f @ m.pf[i]).T
+        roots[i] = np.linalg.cholesky(la.regularised(m.pf[i] - gains[i] @ m.pp[i + 1] @ gains[i].T))
+
+    def draw(rng: np.random.Generator) -> np.ndarray:
+        z = np.einsum("tij,tj->ti", roots, rng.standard_normal((n, p)))
+        x = m.xf + z
+        for i in range(n - 2, -1, -1):
+            x[i] += gains[i] @ (x[i + 1] - m.xp[i + 1])
+        return x
+
+    return draw
+
+
+def _factors(psi: np.ndarray, rank: int) -> np.ndarray:
+    """The scores' leading `rank` coordinates, each scaled to unit second moment."""
+    c = psi.T @ psi / len(psi)
+    values, v = la.psd_eigen(c)
+    return psi @ v[:, :rank] / np.sqrt(values[:rank] + 1e-8 * np.trace(c) / len(c))
+
+
+#: The candidates for the power of the identity in the logarithmic observations.
+ALPHAS = (0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35)
+
+
+def mean_identity(a: np.ndarray) -> np.ndarray:
+    """Positive matrices mapped so that their mean is the identity."""
+    root = la.spd_inv_sqrt(a.mean(axis=0))
+    return root @ a @ root
+
+
+def log_observations(z: np.ndarray, alpha: float) -> np.ndarray:
+    """Half-vectorised logarithms of (1 - alpha) z z' + alpha I, mapped to the mean I first."""
+    a = (1 - alpha) * z[:, :, None] * z[:, None, :] + alpha * np.eye(z.shape[1])
+    return la.half_vec(np.stack([la.spd_log(m) for m in mean_identity(a)]))
+
+
+def log_states(x: np.ndarray, rank: int) -> np.ndarray:
+    """The positive matrices, of mean I, whose half-vectorised logarithms are x up to that map."""
+    return mean_identity(np.stack([la.spd_exp(m) for m in la.from_half_vec(x, rank)]))
+
+
+def predictive_score(z: np.ndarray, m: StateSpace, nu: float) -> float:
+    """The Student log density of every month's factors under the matrix predicted for it on the logarithmic scale."""
+    rank = z.shape[1]
+    return sum(la.log_student(e, a, nu) for e, a in zip(z, log_states(m.xp, rank)))
+
+
+def alpha_search(vectors: DataFrame, rank: int = 2, rounds: int = 4, nu: float = 7.0) -> DataFrame:
+    """(alpha, score, chosen): the logarithmic model under each candidate, fitted with half the rounds and judged by
+    its one-step-ahead scores of the factors; the largest score is chosen, the first of equals."""
+
+    def run(t, month, psi):
+        z = _factors(psi, rank)
+        scores = [predictive_score(z, em_smooth(log_observations(z, a), max(2, rounds // 2), nu, rank), nu) for a in ALPHAS]
+        return pd.DataFrame({"alpha": ALPHAS, "score": scores, "chosen": np.arange(len(ALPHAS)) == int(np.argmax(scores))})
+
+    return _grouped(vectors, run, "alpha double, score double, chosen boolean")
 
 
 def state_draws(vectors: DataFrame, draws: int, rank: int = 2, seed: int = 11, nu: float = 7.0) -> DataFrame:
@@ -364,16 +470,12 @@ def state_draws(vectors: DataFrame, draws: int, rank: int = 2, seed: int = 11, n
 
     def run(key, pdf):
         t, _, psi = _matrix(pdf)
-        c = psi.T @ psi / len(psi)
-        values, v = la.psd_eigen(c)
-        z = psi @ v[:, :rank] / np.sqrt(values[:rank] + 1e-8 * np.trace(c) / len(c))
-        y = la.half_vec(z[:, :, None] * z[:, None, :])
-        x, f, q, r, cov = em_smooth(y, 2, nu)
-        rng = np.random.default_rng([seed, int(key[1])])
+        z = _factors(psi, rank)
+        draw = backward_sampler(em_smooth(la.half_vec(z[:, :, None] * z[:, None, :]), 4, nu, rank))
         rows = []
         for b in range(16 * int(key[1]), min(draws, 16 * int(key[1]) + 16)):
-            noise = np.stack([np.linalg.cholesky(la.regularised(c0)) @ rng.standard_normal(x.shape[1]) for c0 in cov])
-            a = np.stack([la.apply_spectral(m, lambda u: np.clip(u, 0, None)) for m in la.from_half_vec(x + noise, rank)])
+            x = draw(np.random.default_rng([seed, b]))
+            a = np.stack([la.apply_spectral(m, lambda u: np.clip(u, 0, None)) for m in la.from_half_vec(x, rank)])
             rows.append(pd.DataFrame({"variant": key[0], "draw": b, "s": t, "tau": np.trace(a, axis1=1, axis2=2) / rank}))
         return pd.concat(rows)
 

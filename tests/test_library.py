@@ -85,10 +85,59 @@ def test_smoother_follows_a_level_shift():
     rng = np.random.default_rng(6)
     level = np.r_[np.zeros(60), np.ones(60)]
     y = np.column_stack([level + 0.3 * rng.standard_normal(120), rng.standard_normal(120)])
-    x = kernels.em_smooth(y, 4, 7.0)[0]
+    x = kernels.em_smooth(y, 4, 7.0, 1).xs
     assert x[80:, 0].mean() - x[:40, 0].mean() > 0.6 and ((x[:, 0] - level) ** 2).mean() < ((y[:, 0] - level) ** 2).mean()
 
 
+def joint_law(n, mu, f, q, r):
+    """Mean and covariance of all states and of all observations, built entry by entry."""
+    p = len(mu)
+    v = [la.stationary_cov(f, q)]
+    for _ in range(n - 1):
+        v.append(f @ v[-1] @ f.T + q)
+    c = np.zeros((n * p, n * p))
+    for i in range(n):
+        for j in range(i, n):
+            c[j * p : (j + 1) * p, i * p : (i + 1) * p] = np.linalg.matrix_power(f, j - i) @ v[i]
+            c[i * p : (i + 1) * p, j * p : (j + 1) * p] = c[j * p : (j + 1) * p, i * p : (i + 1) * p].T
+    return c, c + np.kron(np.eye(n), r)
+
+
+def test_smoother_and_draws_match_gaussian_conditioning():
+    rng = np.random.default_rng(3)
+    n, p, mu = 7, 2, np.array([1.0, -2.0])
+    f, q, r = np.array([[0.8, 0.1], [0.0, 0.5]]), np.array([[1.0, 0.3], [0.3, 0.6]]), np.array([[0.5, 0.1], [0.1, 0.9]])
+    y = rng.standard_normal((n, p)) * 2 + mu
+    m = kernels.smooth(y, mu, f, q, r, None)
+    c, s = joint_law(n, mu, f, q, r)
+    gain = np.linalg.solve(s, c).T
+    mean = (gain @ (y - mu).ravel()).reshape(n, p) + mu
+    cov = c - gain @ c
+    assert np.allclose(m.xs, mean) and all(np.allclose(m.ps[i], cov[p * i : p * i + p, p * i : p * i + p]) for i in range(n))
+    sign, logdet = np.linalg.slogdet(s)
+    d = (y - mu).ravel()
+    assert np.isclose(m.gaussian, -0.5 * (n * p * np.log(2 * np.pi) + logdet + d @ np.linalg.solve(s, d)))
+    draw = kernels.backward_sampler(m)
+    some = np.stack([draw(rng).ravel() for _ in range(20_000)])
+    assert np.abs(some.mean(axis=0) - mean.ravel()).max() < 0.05
+    assert np.abs(np.cov(some.T) - cov).max() < 0.05  # with the covariances between months
+
+
+def test_transition_shrinks_between_the_blocks_only():
+    f = np.array([[0.5, 0.2, 0.4], [0.1, 0.3, 0.2], [0.2, 0.4, 0.1]])
+    got = kernels.shrunk_transition(f, 2)
+    want = np.array([[0.5, 0.18, 0.054], [0.09, 0.3, 0.027], [0.027, 0.054, 0.1]])
+    assert np.allclose(got, want)
+    assert np.isclose(np.abs(np.linalg.eigvals(kernels.shrunk_transition(10 * f, 2))).max(), 0.965)
+
+
+def test_log_states_invert_log_observations():
+    z = np.random.default_rng(2).standard_normal((40, 2))
+    a = kernels.log_states(kernels.log_observations(z, 0.2), 2)
+    want = 0.8 * z[:, :, None] * z[:, None, :] + 0.2 * np.eye(2)
+    assert np.allclose(a, kernels.mean_identity(want)) and np.allclose(a.mean(axis=0), np.eye(2))
+
+
 def test_volterra_features_by_double_sums():
     x = np.random.default_rng(7).standard_normal((15, 2))
     f = kernels.volterra_features(x, (3.0,), 2)
