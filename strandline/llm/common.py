@@ -17,39 +17,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; only where that is unset (one machine) a local one."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset a local one is made, on a
+    local master only: on a cluster the executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not base:
-        context = spark.sparkContext
         base = context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="strandline-")
-            context.setCheckpointDir(base)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return base
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint; its files go once nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df cut from its lineage by a written table. A checkpoint would hand on the constraints that the optimizer has
+    inferred, which multiply from round to round of an iteration; a table's files hold rows alone."""
+    return stored(df, "step")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as compressed Parquet to the shared folder and read back."""
+    """df written as compressed Parquet to the shared folder and read back. The files stay, as a lazy result may read
+    them at any time; `clear_stored` removes those of a session."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def clear_stored(spark: SparkSession) -> None:
+    """Remove what `stored` and the archives wrote under the shared folder; no result that reads it may be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as it takes to differ from all columns in `taken`, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """The component of every node of edges(u, v): rows (node, component), component being its smallest node.
 
-    Alternates large-star and small-star contraction; each round is an aggregation that combines map-side and
-    an equi-join that adaptive execution may split, so a hub with many neighbours never meets in one task.
+    Alternates large-star and small-star contraction. In each round the smallest neighbours, an aggregation that
+    combines map-side, are written before they are joined: so the join is of two plain exchanges, which adaptive
+    execution splits where a hub has many neighbours. The rounds grow with the logarithm of the largest component's
+    size; `max_rounds` is far beyond what any table needs and guards against an endless job.
     """
 
     def state(df: DataFrame):
@@ -57,19 +78,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
         moved = down.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
-    now = checkpointed(small(edges))
+    now = checkpointed(small(checkpointed(edges)))
     seen = state(now)
     for _ in range(max_rounds):
-        now = checkpointed(small(large(now)))
+        now = checkpointed(small(checkpointed(large(now))))
         before, seen = seen, state(now)
         if before == seen:
             roots = now.select(F.col("v").alias("u"), "v").distinct()

@@ -5,9 +5,10 @@ vector v: the mask holds the positions whose vector has an odd inner product wit
 v is orthogonal to all their vectors, so two fingerprints that differ in at most `radius` bits agree on some mask
 and meet in that table: no pair is missed.
 
-Fingerprints that meet nobody in any table have no partner. The others are resolved exactly and in linear size. For
-radius 2, each gives a row for itself and for each of its 64 one-bit neighbours: fingerprints that share such a
-centre all lie within two bits of each other, and any two within two bits share one.
+Fingerprints that meet in a bucket of a table are compared there, pair by pair, where the bucket is small. The members
+of crowded buckets are resolved exactly and in linear size: for radius 2, each gives a row for itself and for each of
+its 64 one-bit neighbours; fingerprints that share such a centre all lie within two bits of each other, and any two
+within two bits share one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, fresh, stored
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -73,30 +74,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def colliding(fps: DataFrame, radius: int) -> DataFrame:
-    """The distinct fingerprints that meet another one in some covering table."""
+#: A bucket or group of more members than this is never compared pair by pair.
+CROWD = 16
+
+
+def bucketed(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, t, key, m): the fingerprints of every bucket of the covering tables that holds more than one, m being how many."""
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(covering_masks(radius))])
     rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
-    crowded = rows.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1").select("t", "key")
-    return rows.join(crowded, ["t", "key"], "left_semi").select("fp").distinct()
+    # Written first, so that the join is of two plain exchanges, which a common bucket may split.
+    met = checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("m")).filter("m > 1"))
+    return checkpointed(rows.join(met, ["t", "key"]).select("fp", "t", "key", "m"))
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) over distinct fingerprints whose components are those of "differs in at most `radius` bits".
 
-    radius is 1 or 2. Within a group that shares a centre every pair is a true link; the edges go to its smallest
-    member, so a group of m gives m - 1 edges and the m^2 pairs are never made.
+    radius is 1 or 2. Pairs are compared within the buckets of the covering tables that hold at most `crowd`. The
+    members of larger ones meet in groups that share a centre: there every pair is a true link and the edges go to the
+    smallest member, so a group of m gives m - 1 edges and the m^2 pairs are never made.
     """
     if radius not in (1, 2):
         raise ValueError("centres resolve a radius of 1 or 2")
-    met = checkpointed(colliding(fps, radius))
+    held = bucketed(fps, radius)
+    few = held.filter(F.col("m") <= crowd)
+    pairs = few.join(few.select(F.col("fp").alias("v"), "t", "key"), ["t", "key"]).filter("fp > v")
+    near = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= radius).select(F.col("fp").alias("u"), "v")
+    many = checkpointed(held.filter(F.col("m") > crowd).select("fp").distinct())
+    if many.isEmpty():
+        return near.distinct()
     if radius == 2:
-        centres = met.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])).alias("c"))
+        centres = many.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])).alias("c"))
     else:  # within one bit: equal after clearing the differing bit
         masked = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ (1 << i)))).alias("key")) for i in range(BITS)]
-        centres = met.select("fp", F.explode(F.array(*masked)).alias("c"))
-    groups = centres.groupBy("c").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    return centres.join(groups.select("c", "low"), "c").filter("fp > low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+        centres = many.select("fp", F.explode(F.array(*masked)).alias("c"))
+    groups = checkpointed(centres.groupBy("c").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("c", "low"))
+    starred = centres.join(groups, "c").filter("fp > low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
+    return near.unionByName(starred).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -109,18 +123,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ledger = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
     fps = checkpointed(ledger.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     linked = checkpointed(components(links(fps, radius)))
-    named = fps.join(linked, fps.fp == linked.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
-    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("class_size"))
-    classes = named.join(whole, "component").select("fp", "component_id", "class_size")
+    named = checkpointed(fps.join(linked, fps.fp == linked.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component")))
+    whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("class_size")))
+    classes = checkpointed(named.join(whole, "component").select("fp", "component_id", "class_size"))
     out = ledger.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 
 
-
 # --- near-duplicates beyond the covering radius ------------------------------------------------------------------
 
-WORDS64 = 8  # the wide fingerprint has 512 bits
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -128,51 +139,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-#: Odd multipliers that turn one hash of a shingle into several.
-_ODD = _mix(np.arange(1, WORDS64 + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def sketch(text: str | None, words: int = 5, every: int = 12) -> tuple[list[int], list[int]]:
-    """The wide fingerprint (WORDS64 unsigned integers over shingles of `words`) and the hashes of the text's segments.
-
-    Segments end after words where a hash of the last two falls below a 1 / `every` share of its range, so an edit
-    changes the segments it touches and no others. Segments shorter than `words` are left out, unless that is all.
-    """
-    return _sketch(text, words, every)[:2]
+def shingle_hashes(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of all shingles of the whole text in order; fewer words than `words` are one shingle, none is none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    n = max(len(parts) - words + 1, 1)
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else iter([b" ".join(parts)])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, seed) for x in shingles), np.uint64, n)
 
 
-def _sketch(text: str | None, words: int, every: int = 12) -> tuple[list[int], list[int], np.ndarray]:
-    """What `sketch` gives, and the sorted distinct hashes of the text's shingles."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
-    if not n:
-        return [0] * WORDS64, [], np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if n >= words else iter([b" ".join(parts)])
-    total, counts, left, seen = max(n - words + 1, 1), np.zeros((WORDS64, BITS), np.int64), max(n - words + 1, 1), []
-    while left:
-        size = min(left, _CHUNK)
-        h = np.fromiter((xxhash.xxh64_intdigest(next(shingles), 42) for _ in range(size)), np.uint64, size)
-        seen.append(np.unique(h))
-        for k in range(WORDS64):
-            x = _mix(h * _ODD[k]) if k else h
-            counts[k] += np.unpackbits(x.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        left -= size
-    fp = np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    w = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)
-    before = np.concatenate([[np.uint64(0)], w[:-1]])
-    ends = np.flatnonzero(_mix(w * _ODD[1] + before) < np.uint64((1 << 64) // every)) + 1
-    ends = ends if len(ends) and ends[-1] == n else np.append(ends, n)
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(n) - np.repeat(starts, ends - starts)
-    sums = np.add.reduceat(_mix(w + (place.astype(np.uint64) + np.uint64(1)) * _ODD[2]), starts)
-    keep = ends - starts >= words
-    segments = np.unique(sums[keep] if keep.any() else sums)
-    return fp.tolist(), segments.tolist(), seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+def majority_bits(hashes: np.ndarray) -> int:
+    """The SimHash over shingle hashes, repeats included, as an unsigned integer; none gives 0."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), _CHUNK):
+        h = hashes[lo : lo + _CHUNK]
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 #: MinHash bands: a pair of Jaccard similarity s agrees on none of them with probability (1 - s^ROWS)^BANDS, 1.3e-7 at 0.8.
 ROWS, BANDS = 5, 40
 _MIN = _mix(np.arange(101, 101 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
+_BAND = _mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Groups that stay crowded are split by further bands on which their members agree, up to so many in all.
+LEVELS = 3
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -180,24 +172,26 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     if not len(shingles):
         return np.zeros(0, np.uint64)
     low = np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
-    for lo in range(0, len(shingles), 256):
-        low = np.minimum(low, (shingles[lo : lo + 256, None] * _MIN).min(axis=0))
+    for lo in range(0, len(shingles), 128):
+        part = shingles[lo : lo + 128]
+        np.minimum(low, np.multiply.outer(part, _MIN).min(axis=0), out=low)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in low.reshape(ROWS, BANDS):
-        keys = _mix(keys ^ row) * _ODD[3]
+    for row in low.reshape(BANDS, ROWS).T:
+        keys = _mix(keys ^ row) * _BAND
     return keys
 
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                some = [_sketch(t.as_py(), words) for t in b.column(1).slice(lo, 512)]
-                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _, _ in some], pa.list_(pa.int64()))
-                segs = pa.array([np.array(s, np.uint64).view(np.int64) for _, s, _ in some], pa.list_(pa.int64()))
-                n = pa.array([len(h) for _, _, h in some], pa.int64())
-                keys = pa.array([bands(h).view(np.int64) for _, _, h in some], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), fps, segs, n, keys], names=["id", "f", "segments", "n", "bands"])
+            fps, n, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
+            for i, t in enumerate(b.column(2)):
+                h = shingle_hashes(t.as_py(), words)
+                fps[i] = majority_bits(h)
+                h = np.unique(h)
+                n[i] = len(h)
+                keys.append(bands(h).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], names=["id", "t", "fp", "n", "bands"])
 
     return run
 
@@ -205,10 +199,9 @@ def _sketches(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                some = [_sketch(t.as_py(), words) for t in b.column(0).slice(lo, 512)]
-                fps = pa.array([np.array(f, np.uint64).view(np.int64) for f, _, _ in some], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([fps, pa.array([h.tobytes() for _, _, h in some], pa.binary())], names=["f", "shingles"])
+            for lo in range(0, b.num_rows, 256):
+                some = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1).slice(lo, 256)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(some, pa.binary())], names=["key", "shingles"])
 
     return run
 
@@ -226,90 +219,114 @@ def _similar(similarity: float):
     return run
 
 
-def most_bits(similarity: float, bits: int = BITS * WORDS64, slack: float = 1.0) -> int:
-    """Differing bits that two texts of that Jaccard similarity are expected to show, plus `slack` standard deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+class _Search:
+    """Links by shingles, sought among the groups of keys that agree on a band."""
 
+    def __init__(self, keys: DataFrame, texts, found: DataFrame, words: int, similarity: float, crowd: int):
+        self.texts, self.found, self.words, self.similarity, self.crowd = texts, found, words, similarity, crowd
+        held = keys.select("key", "n", F.posexplode("bands").alias("last", "g"))
+        several = checkpointed(held.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g"))
+        self.held = checkpointed(held.join(several, "g").select("key", "n", "last", "g"))
+        self.sets = None
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) over links of three kinds: first 64 fingerprint bits within the covering radius; sharing a
-    segment with the wide fingerprints no further apart than `similarity` on word shingles lets expect; and a Jaccard
-    similarity of `similarity` or more on the sets of word shingles, counted in full.
+    def mixed(self, held: DataFrame) -> DataFrame:
+        """The rows of groups whose members are in different components so far, with component and group size."""
+        placed = checkpointed(held.join(self.found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+        groups = checkpointed(placed.groupBy("g").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("key", "n", "component")).alias("low")).filter("c0 < c1").select("g", "m", "low"))
+        return checkpointed(placed.join(groups, "g"))
 
-    In each group that shares a segment every member is compared with two of them, the ends of an order that differs from
-    segment to segment; so a passage that a third of all documents share gives two rows for each of them, and texts
-    with many segments in common meet over many ends. Texts of equal wide fingerprints are
-    one key. Null, empty and word-free texts are one class.
-
-    Links of the third kind are sought among all pairs that agree on a MinHash band, whatever the group's size; see
-    `BANDS` for the share of pairs that agree on none. Only pairs whose two texts are in different components so far
-    are compared: first with each group's two ends, which joins large families, then every pair that is left. So
-    the last step is quadratic in the unlike texts of a group that agree on all of a band's MinHashes.
-    """
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify pairs(u, nu, v, nv) by their whole shingle sets and add the links to the components."""
+        sized = F.least("nu", "nv") >= self.similarity * F.greatest("nu", "nv") - 1e-9
+        some = checkpointed(pairs.filter(sized).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if some.isEmpty():
+            return
+        if self.sets is None:
+            self.sets = self.texts(self.held.select("key").distinct()).mapInArrow(_sets(self.words), "key long, shingles binary")
+            self.sets = stored(self.sets, "shingles")
+        whole = some.join(self.sets.toDF("u", "a"), "u").join(self.sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+        close = checkpointed(whole.mapInArrow(_similar(self.similarity), "u long, v long"))
+        if close.isEmpty():
+            return
+        self.found = checkpointed(components(close.unionByName(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v"))))
+
+    def stars(self) -> None:
+        """Every member against its group's smallest: large families become one component at once."""
+        rows = self.mixed(self.held).filter("component != low.component")
+        self.compare(rows.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv")))
+
+    def groups(self) -> None:
+        """All pairs of different components in small groups; crowded ones are split by further bands."""
+        held, alone = self.held, None
+        for level in range(1, LEVELS + 1):
+            rows = self.mixed(held)
+            small = rows.filter(F.col("m") <= self.crowd) if level < LEVELS else rows
+            one = small.select("g", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+            two = small.select("g", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+            self.compare(one.join(two, "g").filter("cu > cv").select("u", "nu", "v", "nv"))
+            crowded = checkpointed(rows.filter(F.col("m") > self.crowd).select("key", "n", "last", "g"))
+            if level == LEVELS or crowded.isEmpty():
+                return
+            if alone is None:  # a pair that also shares a small group has been compared there
+                alone = checkpointed(crowded.select("key", F.col("last").alias("next"), F.col("g").alias("more")))
+            split = crowded.join(alone, "key").filter("next > last")
+            held = split.select("key", "n", F.col("next").alias("last"), F.xxhash64("g", "more").alias("g"))
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float, crowd: int) -> DataFrame:
+    """(id, t, stays): t is a hash of the row's text, stays the struct (none, id, t) of the class's row that stays."""
     kind = docs.schema[id_col].dataType.simpleString()
-    ledger = checkpointed(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_sketches(words), f"id {kind}, f array<long>, segments array<long>, n long, bands array<long>")
-        .select("id", F.xxhash64("f").alias("key"), "f", "segments", "n", "bands")
-    )
-    keys = checkpointed(ledger.groupBy("key", "f").agg(F.min("id").alias("rep")))
-    # Covering links on the first 64 bits, between the smallest keys of each value.
-    first = keys.select("key", F.element_at("f", 1).alias("fp"))
-    base = checkpointed(first.groupBy("fp").agg(F.min("key").alias("low")))
-    same = first.join(base, "fp").filter("key != low").select(F.col("key").alias("u"), F.col("low").alias("v"))
-    covered = links(base.select("fp"), radius)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    sketched = plain.mapInArrow(_sketches(words), f"id {kind}, t long, fp long, n long, bands array<long>")
+    ledger = checkpointed(sketched.withColumn("key", F.xxhash64("fp", "n", "bands")))
+    keys = checkpointed(ledger.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("rep"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    # Covering links on the fingerprints, between the smallest keys of each value.
+    base = checkpointed(keys.groupBy("fp").agg(F.min("key").alias("low")))
+    same = keys.select("key", "fp").join(base, "fp").filter("key != low").select(F.col("key").alias("u"), F.col("low").alias("v"))
+    covered = links(base.select("fp"), radius, crowd)
     covered = covered.join(base.select(F.col("fp").alias("u"), F.col("low").alias("ku")), "u").join(base.select(F.col("fp").alias("v"), F.col("low").alias("kv")), "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
-    # Links through segments.
-    held = ledger.select("key", F.explode("segments").alias("segment")).withColumn("x", F.col("key").bitwiseXOR(F.col("segment")))
-    shared = checkpointed(held.groupBy("segment").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi"))
-    met = held.join(shared, "segment").select("key", "segment", F.explode(F.array("lo", "hi")).alias("end"))
-    met = met.select("key", F.col("end").bitwiseXOR(F.col("segment")).alias("other")).filter("key != other")
-    pairs = met.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
-    fu, fv = keys.select(F.col("key").alias("u"), F.col("f").alias("fu")), keys.select(F.col("key").alias("v"), F.col("f").alias("fv"))
-    apart = sum((F.bit_count(F.element_at("fu", k + 1).bitwiseXOR(F.element_at("fv", k + 1))) for k in range(WORDS64)), F.lit(0))
-    alike = pairs.join(fu, "u").join(fv, "v").filter(apart <= most_bits(similarity)).select("u", "v")
-    found = checkpointed(components(covered.unionByName(same).unionByName(alike).distinct()))
-    # Links by shingles, between components.
-    banded = ledger.select("key", "n", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("band")
-    banded = checkpointed(banded.join(crowded, "band"))
-    sets = None
-    for ends in (True, False):
-        placed = banded.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
-        placed = checkpointed(placed.join(mixed, "band"))
-        one = placed.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-        if ends:
-            end = F.struct(F.col("key").bitwiseXOR(F.col("band")), "key", "n", "component")
-            other = placed.groupBy("band").agg(F.array(F.min(end), F.max(end)).alias("e")).select("band", F.explode("e").alias("e")).select("band", F.col("e.key").alias("v"), F.col("e.n").alias("nv"), F.col("e.component").alias("cv"))
-            order = F.lit(True)
-        else:
-            other = one.toDF("band", "v", "nv", "cv")
-            order = F.col("cu") > F.col("cv")
-        sized = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
-        some = one.join(other, "band").filter(order & (F.col("cu") != F.col("cv")) & sized)
-        some = checkpointed(some.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if some.isEmpty():
-            continue
-        if sets is None:  # once, as it moves the texts: of all keys that share a band with another component
-            wanted = placed.select("key").distinct()
-            asked = ledger.join(wanted, "key", "left_semi").select(F.col("id").alias("_asked")).distinct()
-            texts = docs.join(asked, docs[id_col].eqNullSafe(F.col("_asked")), "left_semi").select(F.col(text_col).cast("string").alias("text"))
-            made = texts.mapInArrow(_sets(words), "f array<long>, shingles binary").select(F.xxhash64("f").alias("key"), "shingles")
-            sets = checkpointed(made.join(wanted, "key", "left_semi").distinct())
-        whole = some.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-        close = whole.mapInArrow(_similar(similarity), "u long, v long").distinct()
-        found = checkpointed(components(close.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v"))))
-    named = checkpointed(keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
-    whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # so that a large component's join may be split
-    classes = checkpointed(named.join(whole, "component").select("key", "component_id"))
-    return ledger.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "component_id")
+    found = checkpointed(components(covered.unionByName(same)))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        asked = keys.join(wanted, "key", "left_semi").select("key", F.col("rep.id").alias("aid"), F.col("rep.t").alias("at"))
+        return plain.join(asked, F.col("id").eqNullSafe(F.col("aid")) & (F.col("t") == F.col("at"))).select("key", "text").dropDuplicates(["key"])
+
+    search = _Search(keys, texts, found, words, similarity, crowd)
+    search.stars()
+    search.groups()
+    named = checkpointed(keys.join(search.found, keys.key == search.found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
+    whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("stays")))  # so that a large component's join may be split
+    classes = checkpointed(named.join(whole, "component").select("key", "stays"))
+    return ledger.select("id", "t", "key").join(classes, "key").select("id", "t", "stays")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """One row per row of docs: id, component_id, over links of two kinds: fingerprints of word shingles within the
+    covering radius, and a Jaccard similarity of `similarity` or more on the sets of word shingles, counted in full.
+
+    Links of the second kind are sought among all pairs that agree on a MinHash band; see `BANDS` for the share of
+    pairs that agree on none. In each band's group every member is compared with the smallest, which joins large
+    families of copies; then members of different components are compared pair by pair in groups of at most `crowd`.
+    Larger groups are split by a second and a third band on which their members agree as well: a pair at 0.8 that
+    shares crowded groups alone and agrees on fewer than LEVELS bands is missed, with probability 3e-5. What is left
+    on the last level is compared whatever its size: texts that agree on 15 MinHashes and yet are unlike.
+
+    Null, empty and word-free texts are one class. Rows that repeat an id are judged by their text each. A null id
+    takes part and gives the component its id only where it has no other. Other columns are ignored whatever their
+    names. An empty table gives no rows.
+    """
+    rows = _near(docs, id_col, text_col, words, radius, similarity, crowd)
+    return rows.select(F.col("id").alias(id_col), F.col("stays.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that carry their component's id, with their columns: one document of each group. Rows without
-    an id stay, as none of them can be named the group's one document."""
-    classes = near_components(docs, id_col, text_col, words, radius, similarity)
-    dropped = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    """The rows of docs that stay, with their columns, whatever their names: of each class of `near_components` the
+    row with the smallest id, a row without an id only where there is no other; exact repeats of a row stay together."""
+    rows = _near(docs, id_col, text_col, words, radius, similarity, CROWD)
+    gone = rows.filter(~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("t") == F.col("stays.t")))).select(F.struct("id", "t").alias("k")).distinct()
+    own = fresh("row", docs.columns)
+    key = fresh("k", [*docs.columns, own])
+    t = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    named = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), t.alias("t")))
+    return named.join(gone.withColumnRenamed("k", key), F.expr(f"`{own}` <=> `{key}`"), "left_anti").drop(own)

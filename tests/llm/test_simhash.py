@@ -95,11 +95,29 @@ def test_near_components_catch_similar_texts(spark, tricky, nothing):
     assert simhash.near_components(nothing).count() == 0 and simhash.near_components(tricky).count() == tricky.count()
 
 
-def test_segments_follow_edits():
+def test_every_kind_of_bucket_gives_the_same_components(spark):
+    from strandline.llm.common import components
+
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(40):
+        f = rng.getrandbits(64)
+        fps |= {f, f ^ 1 << rng.randrange(64), f ^ 5 << rng.randrange(60)}
+    rows = [(int(np.uint64(f).astype(np.int64)),) for f in sorted(fps)]
+    df = spark.createDataFrame(rows, "fp long")
+    for radius in (1, 2):
+        found = [sorted(map(tuple, components(simhash.links(df, radius, crowd)).collect())) for crowd in (0, 1, 16, 1000)]
+        assert found[0] and all(f == found[0] for f in found)
+
+
+def test_minhash_bands_and_sets():
     words = [f"w{i}" for i in range(400)]
-    a, b = set(simhash.sketch(" ".join(words))[1]), set(simhash.sketch(" ".join(words[:200] + ["new"] + words[200:]))[1])
-    assert len(a & b) >= len(a) - 2
-    assert simhash.sketch(None) == ([0] * simhash.WORDS64, []) and len(simhash.sketch("one two")[1]) == 1
+    a, b = (np.unique(simhash.shingle_hashes(" ".join(w))) for w in (words, words[:200] + ["new"] + words[200:]))
+    assert len(a) == 396 and len(np.intersect1d(a, b)) == 392
+    assert (simhash.bands(a) == simhash.bands(b)).sum() > 25 and len(set(simhash.bands(a).tolist())) == simhash.BANDS
+    assert len(simhash.bands(np.zeros(0, np.uint64))) == 0 and len(simhash.shingle_hashes("one two")) == 1 and len(simhash.shingle_hashes(None)) == 0
+    for text in ("", "a b c", " ".join(words)):
+        assert simhash.majority_bits(simhash.shingle_hashes(text)) == brute_fp(text, 5)
 
 
 def test_keep_one(corpus, tricky, nothing):
@@ -128,14 +146,65 @@ def together(spark, texts):
     return len(pairs), sum(got[i] == got[j] for i, j in pairs)
 
 
-def test_pairs_meet_in_hot_segments(spark):
-    rng = random.Random(21)  # every segment belongs to a passage that some 200 unlike texts hold
-    after = " ".join(f"after{i}" for i in range(30))
-    passages = []
-    for k in range(20):
-        some = " ".join(f"p{k}w{i}" for i in range(30))
-        tails = (f"{some} end tail{i}" for i in itertools.count())
-        passages.append(next(t for t in tails if set(simhash.sketch(t)[1]) <= set(simhash.sketch(f"{t} {after}")[1])))  # ends with a segment
+def brute_near(rows, words=5, least=0.8):
+    """The smallest id of every document's class over all covering and all Jaccard links, from all pairs."""
+    fps = [brute_fp(t, words) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    texts = [t or "" for _, t in rows]
+    for i, j in jaccard_pairs(texts, words, least):
+        root[find(i)] = find(j)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2:
+            root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low.setdefault(find(i), []).append(d)
+    return {d: min(low[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def test_near_components_equal_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert got == brute_near(rows)
+
+
+def test_crowded_groups_equal_all_pairs(spark):
+    """Texts that agree on many MinHashes and yet are unlike; every group but the smallest is split by further bands."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        words = [*passage, *(f"own{k} {i}" for i in range(30))]
+        texts.append(" ".join(words))
+        words[rng.randrange(150)] = "edited"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    want = brute_near(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd in (2, 16):
+        got = {r.doc_id: r.component_id for r in simhash.near_components(df, crowd=crowd).collect()}
+        assert got == want
+
+
+def test_a_large_family_is_one_class(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:k] + ["edit" + str(rng.random())] + words[k + 1 :]) for k in (rng.randrange(120) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in simhash.near_components(df).collect()} == {0}
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [0]
+
+
+def test_passages_in_common_lose_no_pair(spark):
+    rng = random.Random(21)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(20)]
     texts = []
     for _ in range(250):
         words = " ".join(rng.sample(passages, 8)).split()
@@ -146,6 +215,13 @@ def test_pairs_meet_in_hot_segments(spark):
     assert n >= 250 and met == n, (n, met)
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 0), (3, a, 1), (3, b, 2), (5, b, 3), (None, b, 4), (None, "alone", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Row int").repartition(2)
+    assert sorted(r.Row for r in simhash.keep_one(df).collect()) == [0, 2, 5]
+
+
 def test_pairs_of_short_texts_meet(spark):
     rng = random.Random(22)
     texts = []
