@@ -3,107 +3,137 @@
 Texts are equal when identical after deleting the space and U+0009..U+000D. The index maps the 64-bit hash of the
 normalised text to a chain of entries, one for each different text with that hash:
 
-1. copies collapse in a map-side aggregation whose group key holds the normalised text itself, so texts that
-   merely share a hash are told apart by their bytes;
-2. a directory over the hash's leading bits starts with 2^start_depth buckets; while a bucket holds more entries
-   than `capacity`, the directory doubles and the overfull buckets split by the next bit;
-3. owner tasks each take a contiguous range of buckets, chain the entries that share a hash and write their part
-   of the index as a file in the shared folder;
-4. every document looks itself up by hash and digest; adaptive execution may split that join on a hot key.
-
-Everything runs as DataFrame operations. Texts cross the network once, one copy per map task at most.
+1. one scan writes a ledger of ids and hashes; the directory starts with one bucket and doubles while a bucket holds
+   more different hashes than `capacity`: overfull buckets split by the next bit of the hash;
+2. the documents, texts and all, go to owner tasks. An owner has a range of the directory's slots, so every bucket
+   lies with one owner. Copies of a hash that holds more than a 1/1024 of all rows are first combined by bytes where
+   they are read and then over a few salts: so few hashes can be so common that their list has a fixed size;
+3. an owner chains the different texts of a hash, comparing their bytes, chooses of each the document that stays and
+   writes its buckets as files in the shared folder;
+4. every document looks itself up by owner and hash. Where a hash has one entry, all its documents have been compared
+   with that entry at the owner; where it has a chain, they are compared with its texts, byte by byte.
+
+Everything runs as DataFrame operations. A text crosses the network once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, stored
+from .common import SPACES, checkpointed, fresh, stored
+
+#: A hash is common when it holds more than one of so many rows: at most so many hashes can.
+_SHARE = 1024
+_SALTS = 16
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    raw = F.coalesce(F.col(text_col), F.lit(""))
-    norm = F.translate(raw, SPACES, "")
-    return docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.length(raw).alias("points")).withColumn("h", F.xxhash64("norm"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    h = F.xxhash64("norm")
+    if hash_bits < 64:  # for tests: collisions
+        h = h.bitwiseAND(F.lit(-1 << (64 - hash_bits)))
+    return docs.select(F.col(id_col).alias("id"), F.translate(raw, SPACES, "").alias("norm"), F.length(raw).alias("points")).withColumn("h", h)
 
 
-def _prefix(h, depth: int):
-    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+def _prefix(h: Column, depth: Column | int) -> Column:
+    """The first `depth` bits of a hash; none is 0."""
+    if isinstance(depth, int):
+        return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+    return F.expr(f"IF({depth._jc.toString()} = 0, 0L, shiftrightunsigned({h._jc.toString()}, 64 - {depth._jc.toString()}))")
 
 
-def build_directory(entries: DataFrame, capacity: int, start_depth: int, max_depth: int) -> tuple[DataFrame, int]:
-    """Buckets (depth, prefix, n) over entries(h), and the global depth.
+def build_directory(hashes: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, int]:
+    """Buckets (depth, prefix, n) over the different hashes(h), and the global depth.
 
-    A bucket that still exceeds `capacity` at `max_depth` stays as it is: its entries chain.
+    A table of counts by the first `max_depth` bits is made once; the rounds of doubling read that table. A bucket
+    that still exceeds `capacity` at `max_depth` stays as it is.
     """
-    depth = start_depth
-    buckets = checkpointed(entries.groupBy(_prefix(F.col("h"), depth).alias("prefix")).agg(F.count("*").alias("n")).select(F.lit(depth).alias("depth"), "prefix", "n"))
+    counts = checkpointed(hashes.groupBy(_prefix(F.col("h"), max_depth).alias("p")).agg(F.count("*").alias("n")))
+    depth = 0
+    buckets = checkpointed(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), "n"))
     while depth < max_depth:
         over = buckets.filter((F.col("depth") == depth) & (F.col("n") > capacity))
         if over.isEmpty():
             break
-        deeper = (
-            entries.select("h", _prefix(F.col("h"), depth).alias("prefix"))
-            .join(over.select("prefix"), "prefix", "left_semi")
-            .groupBy(_prefix(F.col("h"), depth + 1).alias("prefix"))
-            .agg(F.count("*").alias("n"))
-            .select(F.lit(depth + 1).alias("depth"), "prefix", "n")
-        )
-        buckets = checkpointed(buckets.filter(~((F.col("depth") == depth) & (F.col("n") > capacity))).unionByName(deeper))
         depth += 1
+        halves = (
+            counts.select("n", F.shiftright("p", max_depth - depth).alias("prefix"))
+            .groupBy("prefix")
+            .agg(F.sum("n").alias("n"))
+            .join(over.select(F.col("prefix").alias("parent")), F.shiftright("prefix", 1) == F.col("parent"), "left_semi")
+            .select(F.lit(depth).alias("depth"), "prefix", "n")
+        )
+        buckets = checkpointed(buckets.filter((F.col("depth") < depth - 1) | (F.col("n") <= capacity)).unionByName(halves))
     return buckets, depth
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536, start_depth: int = 6, max_depth: int = 40) -> DataFrame:
-    """The index of docs: bucket, depth, h, chain (place among entries with the same hash, from 0), sha, keep_id, group_size."""
-    texts = (
-        _keyed(docs, id_col, text_col)
-        .groupBy("h", "norm", "points")  # the bytes are compared here
-        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    )
-    entries = stored(
-        texts.select("h", F.sha2("norm", 256).alias("sha"), "points", "n", "id")
-        .groupBy("h", "sha")
-        .agg(F.sum("n").alias("group_size"), F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("best"))
-        .select("h", "sha", "group_size", F.col("best.id").alias("keep_id")),
-        "entries",
-    )
-    buckets, depth = build_directory(entries, capacity, start_depth, max_depth)
+_BEST = "min(struct(-points AS points, id IS NULL AS none, id))"
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 24, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The ledger (owner, h, id) of docs and their index: owner, depth, bucket (the first hash prefix of the bucket),
+    h, chain (place among entries with the same hash, from 0), chained (entries with that hash), sha, keep_id,
+    group_size, and norm, the text itself, where there is more than one entry."""
+    keyed = _keyed(docs, id_col, text_col, hash_bits)
+    ledger = stored(keyed.select("id", "h"), "ledger")
+    held = checkpointed(ledger.groupBy("h").agg(F.count("*").alias("n")))
+    rows = held.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(checkpointed(held.filter(F.col("n") > max(rows / _SHARE, 16)).select("h")))  # fewer than _SHARE
+    buckets, depth = build_directory(held.select("h"), capacity, max_depth)
+    shallow = buckets.agg(F.min("depth")).first()[0]
+    # No bucket is split between owners: they are at most as many as the shallowest bucket's depth gives.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(shallow, math.ceil(math.log2(16 * parts)))
+    few = keyed.join(common, "h", "left_semi").groupBy(F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"), "h", "norm").agg(F.count("*").alias("n"), F.expr(_BEST).alias("best"))
+    rest = keyed.join(common, "h", "left_anti").select("h", "norm", F.lit(1).cast("long").alias("n"), F.expr("struct(-points AS points, id IS NULL AS none, id) AS best"))
+    sent = few.select("h", "norm", "n", "best").unionByName(rest).withColumn("owner", _prefix(F.col("h"), bits)).repartition(parts, "owner")
+    entries = sent.groupBy("owner", "h", "norm").agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))  # the bytes are compared here
+    chain = Window.partitionBy("owner", "h")
+    chained = entries.withColumn("chained", F.count("*").over(chain)).withColumn("chain", F.row_number().over(chain.orderBy("norm")) - 1)
+    text = F.when(F.col("chained") > 1, F.col("norm")).alias("norm")
+    written = stored(chained.select("owner", "h", "chain", "chained", F.sha2("norm", 256).alias("sha"), F.col("best.id").alias("keep_id"), "group_size", text), "entries")
     # An entry's bucket is the deepest prefix of its hash that the directory holds: one probe for each depth in use.
-    probes = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in range(start_depth, depth + 1)])
-    routed = (
-        entries.select("*", F.explode(probes).alias("p")).select("h", "sha", "group_size", "keep_id", "p.depth", "p.prefix").join(buckets.drop("n"), ["depth", "prefix"])
-        if depth > start_depth
-        else entries.withColumn("depth", F.lit(depth)).withColumn("prefix", _prefix(F.col("h"), depth))
-    )
-    bucket = F.expr("shiftleft(prefix, 62 - depth)")
-    owned = routed.withColumn("bucket", bucket).repartitionByRange("bucket")
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
-    return stored(chained.select("bucket", "depth", "h", "chain", "sha", "keep_id", "group_size"), "index")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536, start_depth: int = 6, max_depth: int = 40) -> DataFrame:
+    probes = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in range(shallow, depth + 1)])
+    index = written.withColumn("p", F.explode(probes)).select("*", "p.depth", "p.prefix").join(buckets.drop("n"), ["depth", "prefix"])
+    index = index.withColumn("bucket", F.expr("IF(depth = 0, 0L, shiftleft(prefix, 64 - depth))")).drop("p", "prefix")
+    return ledger.withColumn("owner", _prefix(F.col("h"), bits)), index
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 24, hash_bits: int = 64) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id (a null id
     comes last). Null text counts as empty; all empty texts are equal. Rows that repeat an id are one document and
     carry the same verdict. Other columns are ignored whatever their names. An empty table gives no rows.
     """
-    index = build_index(docs, id_col, text_col, capacity, start_depth, max_depth)
-    ledger = _keyed(docs, id_col, text_col).select("id", "h", F.sha2("norm", 256).alias("sha"))
-    found = ledger.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    ledger, index = build_index(docs, id_col, text_col, capacity, max_depth, hash_bits)
+    return _verdicts(docs, ledger, index, id_col, text_col, hash_bits)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns. A row is known by its id and its text's digest, so
-    rows that share an id but not a text are judged each; exact repeats of one row stay together."""
-    verdicts = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), SPACES, ""), 256)
-    return docs.join(verdicts, docs[id_col].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_sha")), "left_semi")
+def _verdicts(docs: DataFrame, ledger: DataFrame, index: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
+    said = ("keep_id", "group_size", F.col("sha").alias("text_sha256"))
+    found = ledger.join(index.filter("chained = 1").select("owner", "h", *said), ["owner", "h"]).select("id", "keep_id", "group_size", "text_sha256")
+    chains = checkpointed(index.filter("chained > 1").select("h", "norm", *said))
+    if not chains.isEmpty():
+        crowded = chains.select("h").distinct()
+        some = _keyed(docs, id_col, text_col, hash_bits).join(crowded, "h", "left_semi")
+        found = found.unionByName(some.join(chains, ["h", "norm"]).select("id", "keep_id", "group_size", "text_sha256"))
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their columns, whatever their names. A row is known by its id and
+    its text's digest, so rows that share an id but not a text are judged each; exact repeats of one row stay
+    together. Null and empty texts are one group, a null id is kept only where its group has no other. An empty table
+    gives no rows."""
+    verdicts = exact_dedup(docs, id_col, text_col).filter("kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias("k")).distinct()
+    own = fresh("key", docs.columns)
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, ""), 256)
+    named = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), digest.alias("sha")))
+    return named.join(verdicts.withColumnRenamed("k", fresh("k", named.columns)), F.expr(f"`{own}` <=> `{fresh('k', named.columns)}`"), "left_semi").drop(own)
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
