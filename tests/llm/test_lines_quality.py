@@ -15,41 +15,59 @@ def spark_hash(x):
     return xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x & MASK).to_bytes(8, "little"), 42)
 
 
-def brute_chunks(text, window=2, divisor=3):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_chunks(text, window=2):
+    """(lo, hi, body) of the chunks of a text."""
     lines = (text or "").split("\n")
     h = [spark_hash(x) for x in lines]
+    r = []
+    for i in range(len(lines)):
+        v = 0
+        for k in range(min(window, i + 1)):
+            v ^= (h[i - k] << (line_dedup.SHIFT * k)) & MASK
+        r.append(signed(spark_hash(v)))
     out, lo = [], 0
     for i in range(len(lines)):
-        cut = i == len(lines) - 1
-        if i + 1 >= window:
-            r = 0
-            for k in range(window):
-                r ^= (h[i - k] << (line_dedup.SHIFT * k)) & MASK
-            v = spark_hash(r)
-            v = v - (1 << 64) if v >> 63 else v
-            cut = cut or v % divisor == 0
-        if cut:
+        if i == len(lines) - 1 or (i > 0 and r[i] < r[i - 1] and r[i] <= r[i + 1]):
             out.append((lo, i + 1, "\n".join(lines[lo : i + 1])))
             lo = i + 1
     return out
 
 
+def alike(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
 def brute_dedup(rows):
+    texts = {d: t for d, t in rows if d is not None}
+    cut = {d: brute_chunks(t) for d, t in texts.items()}
     seen = {}
-    for d, t in rows:
-        if d is not None:
-            for c, (lo, hi, body) in enumerate(brute_chunks(t)):
-                if hi - lo >= 2 and re.search(r"[^\x20\x09-\x0D]", body):
-                    seen.setdefault(body, []).append((d, c))
+    for d, parts in cut.items():
+        for c, (lo, hi, body) in enumerate(parts):
+            if hi - lo >= 2 and re.search(r"[^\x20\x09-\x0D]", body):
+                seen.setdefault(body, []).append((d, c))
+    repeated = {(d, c): min(v) for v in seen.values() if len(v) > 1 for d, c in v}
+    gone = {d: set() for d in texts}
+    lines = lambda d, c: cut[d][c][2].split("\n") if 0 <= c < len(cut[d]) else []
+    for (d, c), (fd, fc) in repeated.items():
+        if (d, c) != (fd, fc):
+            lo, hi, _ = cut[d][c]
+            if (d, c - 1) not in repeated:
+                lo -= alike(lines(d, c - 1)[::-1], lines(fd, fc - 1)[::-1])
+            if (d, c + 1) not in repeated:
+                hi += alike(lines(d, c + 1), lines(fd, fc + 1))
+            gone[d].update(range(lo, hi))
     out = []
     for d, t in rows:
-        keep, gone = [], 0
-        for c, (lo, hi, body) in enumerate(brute_chunks(t)):
-            if d is not None and body in seen and len(seen[body]) > 1 and min(seen[body]) != (d, c):
-                gone += hi - lo
-            else:
-                keep.append(body)
-        out.append((d, len((t or "").split("\n")), gone, "\n".join(keep)))
+        own = (t or "").split("\n")
+        drop = gone[d] if d is not None else set()
+        out.append((d, len(own), len(drop), "\n".join(x for i, x in enumerate(own) if i not in drop)))
     return sorted(out, key=str)
 
 
@@ -75,9 +93,32 @@ def test_line_dedup_matches_brute_force(lined, tricky, nothing):
 
 def test_shared_passages_go_but_once(lined):
     got = line_dedup.line_dedup(lined).collect()
-    assert sum(r.n_removed for r in got) > 39 * 4
-    assert sum("shared line 5\nshared line 6" in r.clean_text for r in got if r.doc_id is not None) <= 40
-    assert any("shared line 5" in r.clean_text for r in got if r.doc_id is not None)
+    # 40 documents hold the twelve lines, and the first keeps them. Own lines beside them may hide an edge of a few.
+    assert 0.95 * 39 * 12 <= sum(r.n_removed for r in got) <= 39 * 12
+    assert sum("shared line 5\nshared line 6" in r.clean_text for r in got if r.doc_id is not None) == 1
+
+
+def test_share_of_short_passages_that_go(spark):
+    """What README states: the share of the lines of a passage that go where it repeats in other surroundings."""
+    rng = np.random.default_rng(2)
+    shares = {}
+    for size in (4, 8, 16):
+        rows = []
+        for k in range(60):
+            for copy in range(2):
+                own = [f"own {size} {k} {copy} {j}" for j in range(20)]
+                at = int(rng.integers(1, 19))
+                rows.append((len(rows), "\n".join(own[:at] + [f"passage {size} {k} {j}" for j in range(size)] + own[at:])))
+        got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        shares[size] = sum(r.n_removed for r in got) / (60 * size)
+    assert shares[4] <= shares[8] <= shares[16] <= 1 and shares[8] > 0.5 and shares[16] > 0.95, shares
+    print(shares)
+
+
+def test_repeated_and_null_ids_do_not_gather(spark, lined):
+    rows = [(None if i % 2 else 5, "a b\nc d\ne f\ng h") for i in range(400)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400 and all(r.clean_text == "a b\nc d\ne f\ng h" for r in got)
 
 
 def test_boundaries_resist_shifts():
