@@ -1,17 +1,21 @@
 """A content-addressed web archive.
 
-Three tables on shared storage make an archive: `payloads` holds the bytes of each different payload once, under
-their SHA-256, `headers` holds the exact header bytes of every record, and a record is their join. Of equal payloads
-the record with the largest page id is the response; the others are revisits that refer to it and carry no payload
-of their own. Reading recomputes both digests of every stored payload and fails on any that differs.
-
-Digests are computed beside the scan; a payload crosses the network once, when its one stored copy is chosen.
+Tables on shared storage make an archive: `payloads` holds the bytes of each different payload once, under their
+SHA-256; `first` and `others` hold the exact header bytes of the records. A record is the join of its header with its
+payload. Of equal payloads the record with the largest page id is the response; the others are revisits that refer to
+it and have an empty block.
+
+Payloads and the headers of their owners lie in buckets by digest, one for one, so that putting responses together
+moves no payload again. The other headers, of which one payload may have any number, join with what the responses'
+bytes say, a small row each; adaptive execution may split that join. Reading takes every response's bytes apart again,
+recomputes both digests and the length of its block and fails on any that differs from its header or address.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +43,12 @@ def base32_of_hex(digest: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where an archive's tables are."""
+    """The names of an archive's tables in the session's catalog, and where their files are."""
 
     payloads: str
-    headers: str
+    first: str
+    others: str
+    path: str
 
 
 def _record_id(page_id: Column, target: Column) -> Column:
@@ -51,83 +57,122 @@ def _record_id(page_id: Column, target: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def _uri(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", " ")
+
+
 def _headers(date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     is_revisit = F.col("record_type") == "revisit"
+    refers = F.concat(
+        line("WARC-Profile", F.lit(REVISIT_PROFILE)),
+        line("WARC-Refers-To", _record_id(F.col("owner.page_id"), F.col("owner.url"))),
+        line("WARC-Refers-To-Target-URI", _uri(F.col("owner.url"))),
+        line("WARC-Refers-To-Date", F.lit(date)),
+    )
     return F.concat(
         F.lit(VERSION + END),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", " ")),
+        line("WARC-Target-URI", _uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        line("X-Payload-SHA256", F.col("sha256")),
-        F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))).otherwise(F.lit("")),
+        F.when(is_revisit, refers).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(is_revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(END),
     )
 
 
-def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", path: str | None = None) -> Archive:
+def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", path: str | None = None, buckets: int | None = None) -> Archive:
     """Archive every row of pages(page_id, url, html); null html is an empty payload.
 
     Of the records with equal payloads of at least min_revisit_bytes, the one with the largest page id is the
     response and the others are revisits of it; smaller payloads are all responses. Rows that repeat a page id with
-    the same payload are the same page: they share its type. A null page id comes before all others.
+    the same payload are the same page: they share its type. A null page id comes before all others. Other columns are
+    ignored. An empty table gives an archive without records. There are as many buckets as shuffle partitions.
     """
     spark = pages.sparkSession
     base = path or shared_path(spark, "archive")
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    name = f"strandline_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     scanned = pages.select(F.col("page_id"), F.col("url"), html.alias("payload"))
     digests = checkpointed(scanned.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")))
-    owners = digests.groupBy("sha256").agg(F.max("page_id").alias("owner"))
-    typed = digests.join(owners, "sha256")
-    first = F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("payload_bytes") < min_revisit_bytes)
-    records = typed.select(
-        "page_id", "url", "sha256", "payload_bytes",
-        base32_of_hex(F.col("sha1")).alias("payload_digest"),
-        F.when(first, "response").otherwise("revisit").alias("record_type"),
-        F.when(~first, F.col("owner")).alias("refers_to"),
-    )
-    records.select("page_id", "sha256", _headers(date).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{base}/headers")
-    # One copy of each payload: the key is the digest, and equal digests must have equal bytes to become one row.
-    stored = scanned.groupBy(F.sha2("payload", 256).alias("sha256"), "payload").agg(F.count("*").alias("copies"))
-    stored.select("sha256", "copies", "payload").write.option("compression", "zstd").parquet(f"{base}/payloads")
-    return Archive(f"{base}/payloads", f"{base}/headers")
+    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
+    # Written first, so that the join is of two plain exchanges, which the digest of a common page may split.
+    owners = checkpointed(digests.groupBy("sha256").agg(F.max(order).alias("owner")))
+    typed = digests.join(owners, "sha256").withColumn("payload_digest", base32_of_hex(F.col("sha1")))
+    same_page = F.col("page_id").eqNullSafe(F.col("owner.page_id"))
+    typed = typed.withColumn("record_type", F.when(same_page | (F.col("payload_bytes") < min_revisit_bytes), "response").otherwise("revisit"))
+    is_owner = same_page & (F.coalesce("url", F.lit("")) == F.col("owner.url"))
+    records = checkpointed(typed.select("sha256", _headers(date).cast("binary").alias("header"), is_owner.alias("is_owner"), (F.col("record_type") == "response").alias("is_response")))
+
+    def save(df: DataFrame, table: str, keyed: bool) -> str:
+        writer = df.write.option("compression", "zstd").option("path", f"{base}/{table}").format("parquet")
+        (writer.bucketBy(buckets, "sha256") if keyed else writer).saveAsTable(f"{name}_{table}")
+        return f"{name}_{table}"
+
+    # One copy of each payload: what shares a digest must be the same bytes.
+    copies = scanned.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.min("payload").alias("payload"), F.max("payload").alias("other"))
+    alike = F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads share a digest")).cast("binary"))
+    payloads = save(copies.select("sha256", alike.alias("payload")), "payloads", True)
+    # Rows that repeat the owner have equal headers: one of them is the payload's, the rest are kept beside.
+    first = records.filter("is_owner").groupBy("sha256", "header").agg(F.count("*").alias("rows"))
+    first = save(first, "first", True)
+    return Archive(payloads, first, save(records.filter("NOT is_owner").select("sha256", "header", "is_response"), "others", False), base)
 
 
 def _field(name: str) -> Column:
     return F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
 
 
-def read_archive(spark: SparkSession, archive: Archive, page_id_type: str = "bigint", payloads: bool = False) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to; with `payloads` also record,
-    the record's original bytes, and payload, the full one also for a revisit.
+def responses(spark: SparkSession, archive: Archive) -> DataFrame:
+    """The owners' records in full: sha256, rows (how often the record was archived), record (its exact bytes)."""
+    both = spark.read.table(archive.first).join(spark.read.table(archive.payloads), "sha256", "left")
+    return both.select("sha256", "rows", F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit((END * 2).encode())).alias("record"), F.octet_length("header").alias("at"))
+
+
+def read_archive(spark: SparkSession, archive: Archive, page_id_type: str = "bigint") -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to. All of it comes from the
+    records' own bytes, which are put together and taken apart again; see the module."""
+    number = lambda: F.nullif(_field("X-Page-ID"), F.lit("")).cast(page_id_type)
+    # A record's block ends before its last four bytes and is as long as its header says.
+    whole = responses(spark, archive).withColumn("header", F.expr("substring(record, 1, at)"))
+    cut = whole.withColumn("n", _field("Content-Length").cast("int")).withColumn("block", F.expr("substring(record, octet_length(record) - 3 - n, n)"))
+    sha1 = base32_of_hex(F.sha1("block"))
+    sound = (F.sha2("block", 256) == F.col("sha256")) & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("digest"))) & (F.col("n") + F.col("at") + 4 == F.octet_length("record"))
+    read = cut.withColumn("digest", sha1).select(
+        "sha256", "rows", F.col("n").cast("long").alias("payload_bytes"),
+        F.when(F.coalesce(sound, F.lit(False)), F.col("digest")).otherwise(F.raise_error(F.lit("an archived payload is missing or differs from its digest"))).alias("payload_digest"),
+        number().alias("page_id"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Type").alias("record_type"),
+    )
+    first = checkpointed(read)
+    others = spark.read.table(archive.others).select(
+        "sha256", number().alias("page_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Payload-Digest").alias("claimed"), F.nullif(_field("WARC-Refers-To"), F.lit("")).alias("refers"),
+    )
+    owner = first.select("sha256", "payload_bytes", "payload_digest", F.col("page_id").alias("owner"), "record_id")
+    joined = others.join(owner, "sha256", "left")
+    sound = (F.col("claimed") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & F.coalesce(F.col("refers") == F.col("record_id"), F.lit(True))
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's payload is missing or not the one it names")))
+    rest = joined.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", F.when(F.col("refers").isNotNull(), F.col("owner")).alias("refers_to"))
+    copies = first.select("page_id", "payload_bytes", "payload_digest", "record_type", F.explode(F.expr("sequence(1L, rows)")).alias("copy"))
+    return copies.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(page_id_type).alias("refers_to")).unionByName(rest)
 
-    What a row says of its payload comes from the stored bytes, whose digests are computed anew and compared with
-    the address they are stored under and with the record's header.
-    """
-    head = spark.read.parquet(archive.headers)
-    store = spark.read.parquet(archive.payloads).select(
-        "sha256", F.sha2("payload", 256).alias("actual"), base32_of_hex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"), *(["payload"] if payloads else [])
-    )
-    number = lambda name: F.nullif(_field(name), F.lit("")).cast(page_id_type)
-    parsed = head.select("header", "sha256", number("X-Page-ID").alias("page_id"), _field("WARC-Type").alias("record_type"), F.nullif(_field("X-Refers-To-Page-ID"), F.lit("")).cast(page_id_type).alias("refers_to"), _field("WARC-Payload-Digest").alias("claimed"))
-    joined = parsed.join(store, "sha256", "left")
-    sound = (F.col("actual") == F.col("sha256")) & (F.col("claimed") == F.concat(F.lit("sha1:"), F.col("sha1")))
-    checked = joined.withColumn("payload_digest", F.when(F.coalesce(sound, F.lit(False)), F.col("sha1")).otherwise(F.raise_error(F.lit("an archived payload is missing or differs from its digest"))))
-    out = checked.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", *(["header", "payload"] if payloads else []))
-    if payloads:
-        body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-        out = out.withColumn("record", F.concat(F.col("header"), body, F.lit((END * 2).encode()))).drop("header")
-    return out
+
+def record_bytes(spark: SparkSession, archive: Archive) -> DataFrame:
+    """(page_id, record): every record's exact bytes, as an archive file would hold them one after the other."""
+    page_id = F.nullif(_field("X-Page-ID"), F.lit("")).alias("page_id")
+    end = F.lit((END * 2).encode())
+    first = responses(spark, archive).withColumn("header", F.expr("substring(record, 1, at)")).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
+    others = spark.read.table(archive.others)
+    bodies = others.filter("is_response").join(spark.read.table(archive.payloads), "sha256").select(page_id, F.concat("header", "payload", end).alias("record"))
+    return first.select(page_id, "record").unionByName(bodies).unionByName(others.filter("NOT is_response").select(page_id, F.concat("header", end).alias("record")))
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write an archive of pages and read it back: one row per row of pages."""
+    """Write an archive of pages and read it back: one row per row of pages. See `write_archive` for odd rows."""
     kind = pages.schema["page_id"].dataType.simpleString()
     return read_archive(pages.sparkSession, write_archive(pages, min_revisit_bytes), kind)
 

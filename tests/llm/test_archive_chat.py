@@ -32,29 +32,50 @@ def test_round_trip(pages, least):
     assert sorted(map(tuple, warc.archive_round_trip(pages, least).collect()), key=str) == brute(rows, least)
 
 
-def test_payloads_are_stored_once_and_records_come_back(spark, pages):
-    archive = warc.write_archive(pages)
-    store = spark.read.parquet(archive.payloads)
+@pytest.mark.parametrize("least", [0, 4])
+def test_payloads_are_stored_once_and_records_come_back(spark, pages, least):
+    archive = warc.write_archive(pages, least)
+    store = spark.read.table(archive.payloads)
     assert store.count() == len({r.html or "" for r in pages.collect()})
-    got = warc.read_archive(spark, archive, payloads=True).collect()
-    raw = b"".join(bytes(r.record) for r in got)
-    for data in (raw, b"".join(gzip.compress(bytes(r.record)) for r in got)):
+    said = sorted(map(tuple, warc.read_archive(spark, archive).collect()), key=str)
+    records = [bytes(r.record) for r in warc.record_bytes(spark, archive).collect()]
+    last = {}
+    for r in pages.collect():
+        last[r.html or ""] = max(last.get(r.html or "", (-1, "")), (-1 if r.page_id is None else r.page_id, r.url or ""))
+    for data in (b"".join(records), b"".join(map(gzip.compress, records))):
         parsed = list(warc.parse_records(data))
-        assert len(parsed) == len(got)
-        for r, (head, block) in zip(got, parsed):
-            assert head["WARC-Type"] == r.record_type and head["WARC-Payload-Digest"] == "sha1:" + r.payload_digest
-            assert block == (bytes(r.payload) if r.record_type == "response" else b"")
+        found, ids, targets = [], {}, []
+        for head, block in parsed:
+            page = int(head["X-Page-ID"]) if head.get("X-Page-ID") else None
+            ids[head["WARC-Record-ID"]] = page
+            if head["WARC-Type"] == "response":
+                assert head["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(block)
+            else:
+                assert block == b"" and head["WARC-Profile"] == warc.REVISIT_PROFILE
+            targets.append((page, head["WARC-Payload-Digest"][5:], head["WARC-Type"], head.get("WARC-Refers-To")))
+        for page, digest, kind, refers in targets:
+            found.append((page, digest, kind, None if refers is None else ids[refers]))
+        assert sorted(found, key=str) == sorted(((p, d, k, r) for p, _, d, k, r in said), key=str)
     with pytest.raises(ValueError):
-        list(warc.parse_records(raw[:-3]))
+        list(warc.parse_records(records[0][:-3]))
 
 
 def test_a_changed_payload_is_noticed(spark, pages):
     archive = warc.write_archive(pages)
-    bad = spark.read.parquet(archive.payloads).withColumn("payload", F.lit(b"x"))
-    path = archive.payloads + "-bad"
-    bad.write.parquet(path)
+    spark.read.table(archive.payloads).withColumn("payload", F.lit(b"x")).write.saveAsTable("changed_payloads", path=archive.path + "/changed")
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_archive(spark, warc.Archive(path, archive.headers)).collect()
+        warc.read_archive(spark, warc.Archive("changed_payloads", archive.first, archive.others, archive.path)).collect()
+    spark.sql("DROP TABLE changed_payloads")
+
+
+def test_responses_are_put_together_without_moving_payloads(spark, pages):
+    archive = warc.write_archive(pages)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.responses(spark, archive)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "Join" in plan
 
 
 def test_empty_archive(spark):
