@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -116,7 +119,8 @@ def _failed(prefix: str = "") -> str:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, the measurements and `failed`, the bitmask of failed rules.
 
-    Null text has no words and no lines. Repeated rows are measured each. Other columns are ignored.
+    Null text has no words and no lines. Repeated rows are measured each. Other columns are ignored; an empty table
+    gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -150,23 +154,33 @@ def ablations(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger's digest: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    rows = ledger(docs, id_col, text_col)
+    """The stored ledger's digest: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    failed (the bitmask). One row per row of docs.
+
+    Null and empty texts have no words and fail the base. Repeated rows are judged each; a null id is passed on. Other
+    columns are ignored whatever their names. An empty table gives no rows.
+    """
+    rows = stored(ledger(docs, id_col, text_col), "quality")
     base = ~verdict(BASE)
-    return rows.select(id_col, *MEASURES[:5], base.alias("base_failed"), (~base & verdict(policy)).alias("kept"))
+    return rows.select(id_col, *MEASURES[:5], base.alias("base_failed"), (~base & verdict(policy)).alias("kept"), "failed")
 
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with their columns: the rules run beside the row, so nothing is joined or shuffled."""
+    """The rows of docs that pass the policy and the base, with their columns, whatever their names: the rules run
+    beside the row, so nothing is joined or shuffled. Null and empty texts go; repeated rows stay together; an empty
+    table gives no rows."""
+    prefix = "rule_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
             found = np.array([measure(t.as_py()) for t in b.column(at)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, i]) for i in range(len(MEASURES)))], names=[*b.schema.names, *(f"_rule_{m}" for m in MEASURES)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, i]) for i in range(len(MEASURES)))], names=[*b.schema.names, *(prefix + m for m in MEASURES)])
 
-    schema = docs.schema
+    schema = StructType([*docs.schema.fields])
     for m in MEASURES:
-        schema = type(schema)([*schema.fields]).add(f"_rule_{m}", "long")
+        schema = schema.add(prefix + m, "long")
     seen = docs.mapInArrow(judge, schema)
-    return seen.filter(F.expr(_failed("_rule_")).bitwiseAND(F.lit((policy.mask | BASE.mask))) == 0).select(*docs.columns)
+    return seen.filter(F.expr(_failed(prefix)).bitwiseAND(F.lit((policy.mask | BASE.mask))) == 0).drop(*(prefix + m for m in MEASURES))
