@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import log100, month_start
 from ..operators import calendar, moments, scores
-from ..session import table
+from ..session import settled, table
 
 OUTCOMES = ["sales", "n_orders", "ticket", "share_f", "share_urgent"]
 HORIZON, LAG, WIDTH = 3, 2, len(OUTCOMES)
@@ -45,7 +45,8 @@ def query(sql: str | None = None, digits: int = 6):
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(variant, t, n, date, five outcomes, shock, control, instrument) by month over the completed calendar."""
+    """(variant, t, n, date, five outcomes, shock, control, instrument) by month over the completed calendar: the fact
+    tables are read once each, and what follows is bounded by the calendar."""
     om = (
         table(spark, sf, "orders")
         .groupBy(month_start("o_orderdate").alias("date"))
@@ -58,7 +59,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     full = calendar.complete_months(om).join(monthly_shocks(spark, sf), "date", "left")
-    return calendar.indexed(full.withColumn("variant", F.lit("headline")), ["variant"])
+    return settled(calendar.indexed(full.withColumn("variant", F.lit("headline")), ["variant"]))
 
 
 def monthly_shocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,11 +68,11 @@ def monthly_shocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def psi(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.fwl_scores(panel(spark, sf), OUTCOMES, "shock", "control", HORIZON, LAG)
+    return settled(scores.fwl_scores(panel(spark, sf), OUTCOMES, "shock", "control", HORIZON, LAG))
 
 
 def weights(p: DataFrame, width: float = 3.0) -> DataFrame:
-    return moments.kernel(moments.months(p), "gaussian", width)
+    return settled(moments.kernel(moments.months(p), "gaussian", width))
 
 
 def blocks(spark: SparkSession) -> DataFrame:

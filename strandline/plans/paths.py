@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, filters, graph, moments, resample, scores
-from ..session import table
+from ..session import settled, table
 from .base import blocks, panel, psi, query, r, sql, weights
 
 
@@ -363,10 +363,10 @@ def _path_draws(spark, sf):
     cols = p.groupBy("variant", "k").agg(F.avg(F.col("psi") * F.col("psi")).alias("c"))
     q = p.join(cols, ["variant", "k"]).groupBy("variant", "t").agg(F.avg(F.col("psi") * F.col("psi") / F.col("c")).alias("q"))
     lo = q.groupBy("variant").agg(F.min("t").alias("lo"))
-    qi = q.join(lo, "variant").select("variant", (F.col("t") - F.col("lo")).alias("t"), "q")
+    qi = settled(q.join(lo, "variant").select("variant", (F.col("t") - F.col("lo")).alias("t"), "q"))
     w = weights(p).join(lo, "variant").select("variant", (F.col("s") - F.col("lo")).alias("s"), (F.col("t") - F.col("lo")).alias("t"), "w")
     n = qi.count()
-    draws = resample.path_draws(qi, w, resample.arithmetic_blocks(spark, n, BLOCK, DRAWS))
+    draws = settled(resample.path_draws(qi, w, resample.arithmetic_blocks(spark, n, BLOCK, DRAWS)))
     centre = w.join(qi, ["variant", "t"]).groupBy("variant", "s").agg(F.sum(F.col("w") * F.col("q")).alias("tau"))
     return draws, centre
 

@@ -26,3 +26,12 @@ def local_session(app: str = "strandline", cores: str | int = "*", memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; the directory may be any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df computed once and held as a local table: for results that the calendar bounds (months, by coordinates or
+    draws), whose many uses would each read the fact tables again. Raises beyond `most` rows."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} rows: not bounded by the calendar")
+    return df.sparkSession.createDataFrame(rows, df.schema)
