@@ -92,11 +92,16 @@ def resolvent_kernel(vectors: DataFrame, eta: float = 0.08, balance: bool = True
     return _grouped(vectors, run, "s long, t long, w double")
 
 
+def bartlett_factor(psi: np.ndarray, lag: int) -> np.ndarray:
+    """Sums of each row and the `lag` before it over sqrt(lag + 1); the first `lag` rows have none."""
+    return np.apply_along_axis(lambda x: np.convolve(x, np.ones(lag + 1), "valid"), 0, psi) / math.sqrt(lag + 1)
+
+
 def hac_target(vectors: DataFrame, lag: int, eta: float = 0.08) -> DataFrame:
     """tau of Bartlett-filtered scores: Z_t = sum of the last lag + 1 scores over sqrt(lag + 1), first rows dropped."""
 
     def run(t, month, psi):
-        z = np.apply_along_axis(lambda x: np.convolve(x, np.ones(lag + 1), "valid"), 0, psi) / math.sqrt(lag + 1)
+        z = bartlett_factor(psi, lag)
         w = la.resolvent_weights(month[lag:], eta)
         return pd.DataFrame({"t": t[lag:], "tau": la.tau_from_scores(z, w)})
 
@@ -128,7 +133,8 @@ def zscore(x: np.ndarray) -> np.ndarray:
 
 
 def volterra_target(vectors: DataFrame, lag: int = 2, rank: int = 3, level: int = 2, half_lives: tuple[float, ...] = (3.0, 12.0, 36.0), eta: float = 0.08, most_features: int = 100, pca: int = 10) -> DataFrame:
-    """tau under weights that blend the time kernel with nearness of signature features of the leading score paths."""
+    """tau of the Bartlett-filtered scores under weights that blend the time kernel with nearness of signature features
+    of the leading score paths; the reference is weighted as the states' weights average."""
 
     def run(t, month, psi):
         x, months = psi[lag:], month[lag:]
@@ -143,7 +149,7 @@ def volterra_target(vectors: DataFrame, lag: int = 2, rank: int = 3, level: int
         h = np.median(d[d > 0])
         w = la.resolvent_weights(months, eta) * np.exp(-d2 / (2 * h * h))
         w /= w.sum(axis=1, keepdims=True)
-        return pd.DataFrame({"t": t[lag:], "tau": la.tau_from_scores(x, w, w.mean(axis=0)), "ess": 1 / (w**2).sum(axis=1)})
+        return pd.DataFrame({"t": t[lag:], "tau": la.tau_from_scores(bartlett_factor(psi, lag), w, w.mean(axis=0)), "ess": 1 / (w**2).sum(axis=1)})
 
     return _grouped(vectors, run, "t long, tau double, ess double")
 

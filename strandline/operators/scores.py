@@ -50,6 +50,21 @@ def valid_places(shocks: DataFrame, outcomes: DataFrame, width: int, horizon: in
     return ok.join(full, ["variant", "t"], "left_semi").select("variant", "t", "date")
 
 
+def design(panel: DataFrame, outcomes: list[str], shock: str, control: str, horizon: int, lag: int) -> DataFrame:
+    """One row per valid month: m, controls (constant, trend, control, lags of shock, control, outcomes and their first
+    differences) and responses, as arrays in a fixed order."""
+    sh, ys = scaled_shocks(panel, shock, control), melt(panel, outcomes)
+    ok = valid_places(sh, ys, len(outcomes), horizon, lag).select("variant", "t", "date")
+    w, v = Window.partitionBy("variant").orderBy("t"), Window.partitionBy("variant", "j").orderBy("t")
+    own = F.array(F.lit(1.0), F.col("t").cast("double"), F.col("c"), *[F.lag(x, k).over(w) for k in range(1, lag + 1) for x in ("m", "c")])
+    lagged = sh.select("variant", "t", "m", own.alias("own"))
+    d = ys.withColumn("d", F.col("y") - F.lag("y").over(v))
+    per = d.select("variant", "t", "j", F.array(*[F.lag(x, k).over(v) for k in range(1, lag + 1) for x in ("y", "d")]).alias("lags"))
+    outs = per.groupBy("variant", "t").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "lags"))), lambda x: x["lags"])).alias("lags"))
+    resp = responses(ys, horizon, len(outcomes)).groupBy("variant", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "dy"))), lambda x: x["dy"]).alias("dy"))
+    return ok.join(lagged, ["variant", "t"]).join(outs, ["variant", "t"]).join(resp, ["variant", "t"]).select("variant", "t", "date", "m", F.concat("own", "lags").alias("controls"), "dy")
+
+
 def _residual(y: str, x: str, w) -> Column:
     """y less its least-squares line on x, over a window."""
     slope = F.coalesce(F.covar_pop(x, y).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0)), F.lit(0.0))

@@ -11,18 +11,7 @@ from .paths import _vectors
 
 
 def design(spark, sf):
-    """One row per valid month: m, controls (constant, trend, control, lags of shock, control, outcomes and their first
-    differences) and responses, as arrays in a fixed order."""
-    p = panel(spark, sf)
-    sh, ys = scores.scaled_shocks(p, "shock", "control"), scores.melt(p, OUTCOMES)
-    ok = scores.valid_places(sh, ys, WIDTH, HORIZON, LAG).select("variant", "t", "date")
-    w, v = Window.partitionBy("variant").orderBy("t"), Window.partitionBy("variant", "j").orderBy("t")
-    lagged = sh.select("variant", "t", "m", F.array(F.lit(1.0), F.col("t").cast("double"), F.col("c"), *[F.lag(x, l).over(w) for l in range(1, LAG + 1) for x in ("m", "c")]).alias("own"))
-    d = ys.withColumn("d", F.col("y") - F.lag("y").over(v))
-    per = d.select("variant", "t", "j", F.array(*[F.lag(x, l).over(v) for l in range(1, LAG + 1) for x in ("y", "d")]).alias("lags"))
-    outs = per.groupBy("variant", "t").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "lags"))), lambda x: x["lags"])).alias("lags"))
-    resp = scores.responses(ys, HORIZON, WIDTH).groupBy("variant", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "dy"))), lambda x: x["dy"]).alias("dy"))
-    return ok.join(lagged, ["variant", "t"]).join(outs, ["variant", "t"]).join(resp, ["variant", "t"]).select("variant", "t", "date", "m", F.concat("own", "lags").alias("controls"), "dy")
+    return scores.design(panel(spark, sf), OUTCOMES, "shock", "control", HORIZON, LAG)
 
 
 def full_psi(spark, sf):
