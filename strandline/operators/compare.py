@@ -189,3 +189,27 @@ def numeric_difference(a: DataFrame, b: DataFrame, key: list[str], columns: list
     j = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_a")).join(b.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_b")), key, "full")
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias("d")) for c in columns])
     return j.select("_a", "_b", F.explode(items).alias("i")).groupBy("i.column").agg(F.max("i.d").alias("max_abs_diff"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("unmatched"))
+
+
+def basis_comparison(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Two families of paths (key, basis, t, x): correlation, RMSE and both standard deviations of every basis path."""
+    j = a.withColumnRenamed("x", "xa").join(b.withColumnRenamed("x", "xb"), [*key, "basis", "t"])
+    d = F.col("xa") - F.col("xb")
+    return j.groupBy(*key, "basis").agg(F.corr("xa", "xb").alias("corr"), F.sqrt(F.avg(d * d)).alias("rmse"), F.stddev_samp("xa").alias("sd_a"), F.stddev_samp("xb").alias("sd_b"))
+
+
+def against_base(paths: DataFrame, base: str, k: int) -> DataFrame:
+    """One compact row for each path (variant, t, x) against the one named `base`: correlation, RMSE, largest value, its
+    place, and how many of the k largest places are among the base's k largest."""
+    own = top(paths, "x", ["variant"], k).select("variant", "t")
+    shared = own.join(own.filter(F.col("variant") == base).select("t"), "t").groupBy("variant").agg(F.count("*").alias("shared_top"))
+    j = paths.join(paths.filter(F.col("variant") == base).select("t", F.col("x").alias("x0")), "t")
+    d = F.col("x") - F.col("x0")
+    row = j.groupBy("variant").agg(F.corr("x", "x0").alias("corr"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max("x").alias("largest"), F.min_by("t", F.struct(-F.col("x"), F.col("t"))).alias("place"))
+    return row.join(shared, "variant", "left").na.fill(0, ["shared_top"])
+
+
+def admissible(candidates: DataFrame, least_ess: float, most_weight: float, best: str) -> DataFrame:
+    """Candidates (candidate, min_ess, max_w, ...) that are stable; `chosen` marks the one with the lowest `best`."""
+    ok = candidates.filter((F.col("min_ess") >= least_ess) & (F.col("max_w") <= most_weight))
+    return ok.withColumn("chosen", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(best, "candidate")) == 1)

@@ -635,3 +635,74 @@ def structural_rank(vectors: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0
         return pd.DataFrame({"level": levels, "directions": [int(np.searchsorted(share, x - 1e-12) + 1) for x in levels]})
 
     return _grouped(vectors, run, "level double, directions int")
+
+
+def model_checks(vectors: DataFrame, eta: float = 0.08) -> DataFrame:
+    """(check, value, tolerance, passed) of the full model of each variant: symmetry and positivity of the reference C,
+    the path K(s) and its relative form A(s), the soft dimension, the weights' sums, that K(s) averages to C and tau
+    to one, and how many cells have too little reference variance to divide by."""
+
+    def run(t, month, psi):
+        c, _, d, d_rho = la.reference(psi)
+        w = la.resolvent_weights(month, eta)
+        half = la.spd_inv_sqrt(d)
+        low, asym, least = np.inf, 0.0, np.inf
+        mean = np.zeros_like(c)
+        for row in w:
+            k = (psi * row[:, None]).T @ psi
+            asym = max(asym, float(np.abs(k - k.T).max()))
+            least = min(least, float(np.linalg.eigvalsh(la.sym(k))[0]))
+            low = min(low, float(np.linalg.eigvalsh(la.sym(half @ k @ half))[0]))
+            mean += k / len(w)
+        tau = la.tau_from_scores(psi, w)
+        small = np.diag(c) <= 1e-12 * max(float(np.diag(c).mean()), 1.0)
+        rows = [
+            ("reference_symmetric", float(np.abs(c - c.T).max()), 1e-10, 1),
+            ("path_symmetric", asym, 1e-10 * max(1.0, float(np.abs(c).max())), 1),
+            ("reference_smallest_eigenvalue", float(np.linalg.eigvalsh(c)[0]), -1e-8 * max(1.0, float(np.abs(c).max())), -1),
+            ("path_smallest_eigenvalue", least, -1e-8 * max(1.0, float(np.abs(c).max())), -1),
+            ("relative_smallest_eigenvalue", low, -1e-8, -1),
+            ("soft_dimension", d_rho, 0.0, -1),
+            ("mean_path_is_reference", float(np.linalg.norm(mean - c) / np.linalg.norm(c)), 1e-8, 1),
+            ("mean_tau_is_one", abs(float(tau.mean()) - 1), 1e-8, 1),
+            ("row_sums", float(np.abs(w.sum(axis=1) - 1).max()), 1e-8, 1),
+            ("column_sums", float(np.abs(w.sum(axis=0) - 1).max()), 1e-8, 1),
+            ("cells_without_variance", float(small.sum()), 0.0, 1),
+        ]
+        out = pd.DataFrame(rows, columns=["check", "value", "tolerance", "side"])
+        out["passed"] = np.where(out["side"] > 0, out["value"] <= out["tolerance"], out["value"] >= out["tolerance"])
+        return out.drop(columns="side")
+
+    return _grouped(vectors, run, "check string, value double, tolerance double, passed boolean")
+
+
+def bootstrap_resolved(design: DataFrame, draws: int, block: int, seed: int, rank: int = 2, rounds: int = 2, nu: float = 7.0, ridge: float = 1e-8, chunk: int = 8) -> DataFrame:
+    """(variant, draw, s, tau, error): the whole pipeline again in every draw. Months are resampled in circular blocks;
+    the regression is solved anew from the sums of the rows' x x' and x y', its residuals give scores, and the robust
+    state space is fitted to them. Months stay in place. A draw whose fit fails is one row with its error."""
+    chunks = design.sparkSession.range(-(-draws // chunk)).withColumnRenamed("id", "chunk")
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("t")
+        t, x = pdf["t"].to_numpy(), np.stack(pdf["controls"].to_numpy())
+        sd = x.std(axis=0)
+        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+        x[:, 0] = 1
+        y = np.column_stack([pdf["m"].to_numpy(), np.stack(pdf["dy"].to_numpy())])
+        n, rows = len(x), []
+        for b in range(chunk * int(key[1]), min(draws, chunk * int(key[1]) + chunk)):
+            starts = np.random.default_rng([seed, b]).integers(0, n, -(-n // block))
+            at = ((starts[:, None] + np.arange(block)) % n).ravel()[:n]
+            often = np.bincount(at, minlength=n).astype(float)
+            try:
+                coef = np.linalg.solve((x.T * often) @ x + ridge * np.eye(x.shape[1]), (x.T * often) @ y)
+                e = (y - x @ coef)[at]
+                z = _factors(e[:, :1] * e[:, 1:] / np.mean(e[:, 0] ** 2), rank)
+                states = em_smooth(la.half_vec(z[:, :, None] * z[:, None, :]), rounds, nu, rank).xs
+                a = np.stack([la.apply_spectral(m, lambda v: np.clip(v, 0, None)) for m in la.from_half_vec(states, rank)])
+                rows.append(pd.DataFrame({"variant": key[0], "draw": b, "s": t, "tau": np.trace(a, axis1=1, axis2=2) / rank, "error": None}))
+            except (np.linalg.LinAlgError, ValueError) as problem:
+                rows.append(pd.DataFrame({"variant": [key[0]], "draw": [b], "s": [-1], "tau": [np.nan], "error": [str(problem)]}))
+        return pd.concat(rows)
+
+    return design.join(F.broadcast(chunks)).groupBy("variant", "chunk").applyInPandas(run, "variant string, draw long, s long, tau double, error string")

@@ -9,10 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Coordinate blocks: the outcomes counted as financial, and the horizon bands for the default horizon.
-FINANCIAL = ("gs2", "baa10y")
-BANDS = (("impact", 0, 3), ("medium", 4, 12), ("long", 13, 24))
-
 
 def months(scores: DataFrame) -> DataFrame:
     return scores.select("variant", "t", "date").distinct()
@@ -77,6 +73,16 @@ def moment_path(scores: DataFrame, w: DataFrame) -> DataFrame:
     return products.join(w, ["variant", "t"]).groupBy("variant", "s", "i", "j").agg(F.sum(F.col("w") * F.col("p")).alias("k_ij"))
 
 
+def weighted_covariance(scores: DataFrame, w: DataFrame) -> DataFrame:
+    """(variant, s, i, j, cov), i <= j: covariances of the scores about their weighted means at every state. A floor on
+    the eigenvalues, where a caller needs one, is the dense kit's `regularised`."""
+    a = scores.select("variant", "t", F.col("k").alias("i"), F.col("psi").alias("a"))
+    b = scores.select("variant", "t", F.col("k").alias("j"), F.col("psi").alias("b"))
+    pairs = a.join(b, ["variant", "t"]).filter("i <= j").join(w, ["variant", "t"])
+    part = lambda x: F.sum(F.col("w") * x)
+    return pairs.groupBy("variant", "s", "i", "j").agg((part(F.col("a") * F.col("b")) - part(F.col("a")) * part(F.col("b")) * (2 - F.sum("w"))).alias("cov"))
+
+
 def diagonals(scores: DataFrame, w: DataFrame) -> DataFrame:
     """(variant, s, h, j, k, k_kk, c_kk): the diagonals of K(s) and C."""
     c = scores.groupBy("variant", "k").agg(F.avg(F.col("psi") * F.col("psi")).alias("c_kk"))

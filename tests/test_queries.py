@@ -93,3 +93,14 @@ def test_bands_contain_the_path(spark, sf):
     b, p = rows(spark, sf, "bootstrap_tau_band").set_index("s"), rows(spark, sf, "tau_soft_resolvent").set_index("t")
     p = p.loc[b.index]
     assert ((b["lo"] <= p["tau"] + 1e-5) & (p["tau"] <= b["hi"] + 1e-5)).all()
+
+
+def test_model_checks_pass_and_resolved_draws_hold_the_centre(spark, sf):
+    c = rows(spark, sf, "model_checks")
+    assert len(c) == 11 and c["passed"].all(), c
+    band = rows(spark, sf, "bootstrap_resolved_band")
+    assert (band["lo"] <= band["mid"]).all() and (band["mid"] <= band["hi"]).all() and (band["lo"] >= 0).all()
+    a = rows(spark, sf, "log_alpha_search")
+    assert a["chosen"].sum() == 1 and a.loc[a["chosen"], "score"].iloc[0] == a["score"].max()
+    path = rows(spark, sf, "log_rank_path")
+    assert (path["tau"] > 0).all() and abs(path["tau"].mean() - 1) < 1e-4
