@@ -262,9 +262,10 @@ def nested_scores(vectors: DataFrame, start: int, half_life_mean: float | None,
     if estimator not in ESTIMATORS:
         raise ValueError(f"unknown estimator {estimator}")
 
-    def fit(k: np.ndarray, shrink: float) -> np.ndarray:
-        if estimator == "add_floor":
-            return k + floor * np.trace(k) / len(k) * np.eye(len(k))
+    def fit(k: np.ndarray, shrink: float, constant: np.ndarray) -> np.ndarray:
+        if estimator == "add_floor":  # a fixed share of the training months' moment, then a floor for every direction
+            k = 0.9 * k + 0.1 * constant
+            return la.sym(k) + floor * np.trace(k) / len(k) * np.eye(len(k))
         return la.regularised(np.diag(np.diag(k)) if estimator == "diagonal" else k, shrink if estimator == "ledoit_wolf" else 0.0, floor)
 
     rates = {"M0": (None, None), "M1": (None, half_life_cov), "M2": (half_life_mean, None), "M3": (half_life_mean, half_life_cov)}
@@ -281,11 +282,12 @@ def nested_scores(vectors: DataFrame, start: int, half_life_mean: float | None,
         rows = []
         for name, (hm, hc) in rates.items():
             am, ac = (1.0 if h is None else 0.5 ** (1 / h) for h in (hm, hc))
-            mean, k = np.zeros(y.shape[1]), y[:train].T @ y[:train] / train
+            constant = y[:train].T @ y[:train] / train
+            mean, k = np.zeros(y.shape[1]), constant
             for i in range(train, len(y)):
                 e = y[i] - mean
                 if i >= start:
-                    rows.append((t[i], name, la.log_gaussian(e, fit(k, shrink)) - jac))
+                    rows.append((t[i], name, la.log_gaussian(e, fit(k, shrink, constant)) - jac))
                 k = ac * k + (1 - ac) * np.outer(e, e)
                 mean = am * mean + (1 - am) * y[i]
         return pd.DataFrame(rows, columns=["t", "model", "score"])

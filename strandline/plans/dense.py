@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, graph, kernels, scores
+from ..session import settled
 from .base import HORIZON, LAG, OUTCOMES, WIDTH, panel, psi, query
 from .paths import _vectors
 
@@ -128,25 +129,41 @@ def eta_grid(spark, sf):
     return kernels.eta_grid(vectors(spark, sf), points=13).drop("variant")
 
 
+def half_life_grid(v):
+    """(setting, kind, half_life, score, best): mean validation score of each candidate; a grid of four settings."""
+    grid = {f"{kind}_{h:g}": kernels.nested_scores(v, 45, h if kind == "mean" else None, h if kind == "cov" else None, 40).filter(F.col("model") == ("M2" if kind == "mean" else "M1")) for kind in ("mean", "cov") for h in (6.0, 24.0)}
+    every = compare.union_named(grid, "setting").groupBy("setting").agg(F.avg("score").alias("score"))
+    kind = F.substring_index("setting", "_", 1)
+    every = every.withColumn("kind", kind).withColumn("half_life", F.substring_index("setting", "_", -1).cast("double"))
+    return every.withColumn("best", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "setting")) == 1)
+
+
+def nested(v, estimator: str = "ledoit_wolf", floor: float = 1e-8, tuned: tuple[float, float] | None = None):
+    """Scores of the four models under the half-lives of mean and covariance that validation chooses."""
+    mean, cov = tuned or chosen_half_lives(v)
+    return kernels.nested_scores(v, 50, mean, cov, 40, estimator, floor)
+
+
+def chosen_half_lives(v) -> tuple[float, float]:
+    best = {r.kind: r.half_life for r in half_life_grid(v).filter("best").collect()}  # two rows
+    return best["mean"], best["cov"]
+
+
 @query()
 def nested_log_scores(spark, sf):
-    return kernels.nested_scores(vectors(spark, sf), 50, 24.0, 36.0, 40).drop("variant")
+    return nested(settled(vectors(spark, sf))).drop("variant")
 
 
 @query()
 def nested_pair_summary(spark, sf):
-    s = kernels.nested_scores(vectors(spark, sf), 50, 24.0, 36.0, 40)
+    s = nested(settled(vectors(spark, sf)))
     return compare.pair_summary(compare.pair_differences(s, [("M1", "M0"), ("M2", "M0"), ("M3", "M0"), ("M3", "M1"), ("M3", "M2"), ("M2", "M1")]))
 
 
 @query()
 def nested_half_life_tuning(spark, sf):
     """Mean validation score over a grid of half-lives, as rows, and the best of each kind."""
-    v = vectors(spark, sf)
-    grid = {f"{kind}_{h:g}": kernels.nested_scores(v, 45, h if kind == "mean" else None, h if kind == "cov" else None, 40).filter(F.col("model") == ("M2" if kind == "mean" else "M1")) for kind in ("mean", "cov") for h in (6.0, 24.0)}
-    every = compare.union_named(grid, "setting").groupBy("setting").agg(F.avg("score").alias("score"))
-    kind = F.substring_index("setting", "_", 1)
-    return every.withColumn("best", F.row_number().over(Window.partitionBy(kind).orderBy(F.col("score").desc(), "setting")) == 1)
+    return half_life_grid(settled(vectors(spark, sf))).select("setting", "score", "best")
 
 
 @query()

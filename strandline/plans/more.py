@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar, compare, filters, graph, kernels, moments, resample, scores
+from ..session import settled
 from ..sources.synthetic import synthetic_scores
 from .base import HORIZON, LAG, OUTCOMES, WIDTH, blocks, panel, psi, query, r, sql, weights
-from .dense import vectors
+from .dense import chosen_half_lives, nested, vectors
 from .etl import _IV
 from .paths import _D, _path_draws, _vectors
 
@@ -161,9 +162,10 @@ def structural_rank(spark, sf):
 @query()
 def nested_sensitivity(spark, sf):
     """Mean gain of the moving models under each covariance estimator and floor, and whether its sign is the primary's."""
-    v = vectors(spark, sf)
+    v = settled(vectors(spark, sf))
+    tuned = chosen_half_lives(v)
     settings = {"primary": ("ledoit_wolf", 1e-8), "diagonal": ("diagonal", 1e-8), "add_floor": ("add_floor", 1e-4), "floor_1e-10": ("ledoit_wolf", 1e-10), "floor_1e-6": ("ledoit_wolf", 1e-6)}
-    frames = {k: compare.pair_differences(kernels.nested_scores(v, 50, 24.0, 36.0, 40, e, f), [("M1", "M0"), ("M3", "M0")]) for k, (e, f) in settings.items()}
+    frames = {k: compare.pair_differences(nested(v, e, f, tuned), [("M1", "M0"), ("M3", "M0")]) for k, (e, f) in settings.items()}
     s = compare.union_named(frames, "setting").groupBy("setting", "pair").agg(F.avg("diff").alias("mean"), F.percentile("diff", F.lit(0.5)).alias("median"), F.avg((F.col("diff") > 0).cast("double")).alias("share_won"))
     first = s.filter("setting = 'primary'").select("pair", F.signum("mean").alias("sign0"))
     return s.join(first, "pair").withColumn("sign_differs", F.signum("mean") != F.col("sign0")).drop("sign0")

@@ -144,9 +144,9 @@ def ewma_mean(spark, sf):
     return filters.ewma(psi(spark, sf).select("t", "k", "psi"), "psi", ["k"], 6.0)
 
 
-@query(sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT a.t, a.k, {h}::DOUBLE AS half_life, {r(f'sum(pow(pow(0.5, 1.0/{h}), a.t-b.t)*b.psi)', 'filtered')} FROM psi a JOIN psi b ON a.k = b.k AND b.t <= a.t WHERE a.k < 5 GROUP BY a.t, a.k" for h in (3, 12)) + ")"))
+@query(sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT a.t, a.k, {h}::DOUBLE AS half_life, {r(f'sum(pow(pow(0.5, 1.0/{h}), a.t-b.t)*b.psi)', 'filtered')} FROM psi a JOIN psi b ON a.k = b.k AND b.t <= a.t GROUP BY a.t, a.k" for h in (3, 12)) + ")"))
 def volterra_level_one(spark, sf):
-    return filters.volterra_level_one(psi(spark, sf).filter("k < 5").select("t", "k", "psi"), "psi", ["k"], [3.0, 12.0])
+    return filters.volterra_level_one(psi(spark, sf).select("t", "k", "psi"), "psi", ["k"], [3.0, 12.0])
 
 
 @query(sql(f"SELECT s, {r('sum(tau) OVER o', 'running')}, {r('sum(tau) OVER o / sum(tau) OVER ()', 'running_share')} FROM tau WINDOW o AS (ORDER BY s)"))
@@ -195,7 +195,13 @@ def time_folds(spark, sf):
     return filters.time_folds(places(spark, sf), ["variant"], 5).select("t", "fold")
 
 
-@query()
+@query(
+    sql(
+        f"SELECT rank, s AS t, {r('tau')} FROM (SELECT unnest(chosen) AS s, generate_subscripts(chosen, 1) AS rank FROM (SELECT chosen FROM pick ORDER BY rk DESC LIMIT 1)) JOIN tau USING (s)",
+        ordered="SELECT s, row_number() OVER (ORDER BY tau DESC, s) AS rk FROM tau",
+        pick="SELECT rk, [s] AS chosen FROM ordered WHERE rk = 1 UNION ALL SELECT o.rk, CASE WHEN len(chosen) < 6 AND len(list_filter(chosen, lambda x: abs(x - o.s) < 6)) = 0 THEN list_append(chosen, o.s) ELSE chosen END FROM pick p JOIN ordered o ON o.rk = p.rk + 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def spaced_top_months(spark, sf):
     """Six largest months at least six apart."""
     return filters.spaced_top(tau_path(spark, sf).withColumnRenamed("s", "t"), "tau", ["variant"], 6, 6).drop("variant")
@@ -274,15 +280,15 @@ def envelope_min_max(spark, sf):
 
 
 _M = {
-    "ms": "SELECT t, 'm' || j AS model, sum(psi) / 10 AS score FROM psi WHERE j < 3 GROUP BY t, j",
-    "pd": "SELECT a.model || '-' || b.model AS pair, a.t, a.score - b.score AS diff FROM ms a JOIN ms b USING (t) WHERE (a.model, b.model) IN (('m1', 'm0'), ('m2', 'm0'), ('m2', 'm1'))",
+    "ms": "SELECT t, 'm' || j AS model, sum(psi) / 10 AS score FROM psi GROUP BY t, j",
+    "pd": "SELECT a.model || '-' || b.model AS pair, a.t, a.score - b.score AS diff FROM ms a JOIN ms b USING (t) WHERE (a.model, b.model) IN (('m1', 'm0'), ('m2', 'm0'), ('m2', 'm1'), ('m3', 'm0'), ('m4', 'm0'))",
     "pr": "SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(diff) DESC, t) AS rk FROM pd",
 }
-PAIRS = [("m1", "m0"), ("m2", "m0"), ("m2", "m1")]
+PAIRS = [("m1", "m0"), ("m2", "m0"), ("m2", "m1"), ("m3", "m0"), ("m4", "m0")]
 
 
 def _model_scores(spark, sf):
-    return psi(spark, sf).filter("j < 3").groupBy("t", F.concat(F.lit("m"), F.col("j")).alias("model")).agg((F.sum("psi") / 10).alias("score"))
+    return psi(spark, sf).groupBy("t", F.concat(F.lit("m"), F.col("j")).alias("model")).agg((F.sum("psi") / 10).alias("score"))
 
 
 @query(sql(f"SELECT pair, t, {r('diff')} FROM pd", **_M))

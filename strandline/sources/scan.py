@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,3 +137,69 @@ def read_path_table(spark: SparkSession, path: str, aliases: dict[str, str], req
     """A parquet path table with columns renamed by `aliases` and the required ones present."""
     df = spark.read.parquet(path)
     return require(df.withColumnsRenamed({a: b for a, b in aliases.items() if a in df.columns}), required, path)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of `paths` that exists, on any file system that the session reads; an error names them all."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def resolve(spark: SparkSession, names: list[str], folders: list[str], variable: str | None = None) -> str | None:
+    """Where an optional source is: the path in the environment variable where that is set, else the first of `names`
+    in the first of `folders`; None where there is none. A path in the variable that doesn't exist is an error."""
+    told = os.environ.get(variable, "") if variable else ""
+    if told:
+        return first_existing(spark, [told])
+    try:
+        return first_existing(spark, [f"{folder.rstrip('/')}/{name}" for folder in folders if folder for name in names])
+    except FileNotFoundError:
+        return None
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, shape, row, values) of the numeric arrays of NPZ files: one row for each index of the first axis,
+    the rest flattened in C order. A file is read where it lies, in the executors; pickled members are refused."""
+
+    def parse(batches):
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as members:
+                    for name in members.files:
+                        a = np.atleast_1d(members[name])
+                        flat = a.reshape(len(a), -1).astype(float)
+                        for lo in range(0, len(a), 1024):
+                            part = list(flat[lo : lo + 1024])
+                            yield type(pdf)({"path": p, "name": name, "shape": [list(a.shape)] * len(part), "row": range(lo, lo + len(part)), "values": part})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, name string, shape array<long>, row long, values array<double>")
+
+
+def surprises_by_month(rows: DataFrame, prefer: tuple[tuple[str, int], ...] = NAME_WEIGHTS, date: str | None = None) -> DataFrame:
+    """(date, value, n): the events of an outside table summed by month. The date column is `date`, or the first whose
+    name holds "date"; the value column is the one whose name scores highest. Rows without either count for nothing."""
+    when = date or next((c for c in rows.columns if "date" in c.lower()), None)
+    if when is None:
+        raise MissingColumns(f"no date column among {', '.join(rows.columns)}")
+    value = choose_column([c for c in rows.columns if c != when], prefer)
+    day = F.col(when) if isinstance(rows.schema[when].dataType, (T.DateType, T.TimestampType)) else date_or_serial(when)
+    x = rows.select(month_start(day).alias("date"), F.col(value).try_cast("double").alias("x"))
+    return x.filter("date IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)").groupBy("date").agg(F.sum("x").alias("value"), F.count("*").alias("n"))
+
+
+def best_sheet(content: bytes, header: list[str]) -> int:
+    """The sheet of a workbook one of whose rows names most of `header` (case-insensitively); the first of equals.
+    Raises where no sheet names any."""
+    want, scores, sheet = {h.lower() for h in header}, [], 0
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        sheets = sum(bool(re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)) for n in z.namelist())
+    for sheet in range(sheets):
+        rows = workbook_rows(content, sheet)
+        scores.append(max((len(want & {(c or "").strip().lower() for c in row}) for row in rows), default=0))
+    if not scores or max(scores) == 0:
+        raise MissingColumns(f"no sheet names any of {', '.join(header)}")
+    return scores.index(max(scores))

@@ -303,3 +303,48 @@ def test_stateful_mean_spans_batches(spark, tmp_path):
     q.stop()
     last = {r.k: (r.n, r.mean) for r in spark.table("means").orderBy("n").collect()}
     assert last == {"a": (2, 5.0), "b": (1, 0.5)}
+
+
+def test_first_existing_and_resolve(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.csv").write_text("1")
+    folders = [str(tmp_path / "a"), str(tmp_path / "b")]
+    assert scan.resolve(spark, ["y.csv", "x.csv"], folders, "NO_SUCH_VARIABLE") == folders[1] + "/x.csv"
+    assert scan.resolve(spark, ["z.csv"], folders) is None
+    monkeypatch.setenv("MY_SOURCE", str(tmp_path / "a"))
+    assert scan.resolve(spark, ["x.csv"], folders, "MY_SOURCE") == folders[0]
+    monkeypatch.setenv("MY_SOURCE", str(tmp_path / "gone"))
+    with pytest.raises(FileNotFoundError):
+        scan.resolve(spark, ["x.csv"], folders, "MY_SOURCE")
+
+
+def test_arrays_of_npz_files(spark, tmp_path):
+    a, b = np.arange(12.0).reshape(3, 2, 2), np.array([1, 2])
+    np.savez(tmp_path / "x.npz", a=a, b=b)
+    got = {(r.name, r.row): (r.shape, r["values"]) for r in scan.read_arrays(spark, str(tmp_path / "x.npz")).collect()}
+    assert got["a", 1] == ([3, 2, 2], [4.0, 5.0, 6.0, 7.0]) and got["b", 1] == ([2], [2.0]) and len(got) == 5
+
+
+def test_surprises_by_month(spark):
+    rows = spark.createDataFrame([("2020-03-03", "0.5", "1"), ("2020-03-15", "0.25", "2"), ("43952", "-1", "3"), ("x", "9", "4"), ("2020-03-20", None, "5")], "meeting_date string, mp_surprise string, information_component string")
+    got = {str(r.date): (r.value, r.n) for r in scan.surprises_by_month(rows).collect()}
+    assert got == {"2020-03-01": (0.75, 2), "2020-05-01": (-1.0, 1)}
+    with pytest.raises(scan.MissingColumns):
+        scan.surprises_by_month(rows.drop("meeting_date"))
+
+
+def test_best_sheet():
+    content = workbook([[2], [0, None, 1]])
+    assert scan.best_sheet(content, ["year", "cpi10"]) == 0
+    with pytest.raises(scan.MissingColumns):
+        scan.best_sheet(content, ["nothing"])
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from strandline.__main__ import main
+
+    assert main(["list"]) == 0 and "tau_soft_resolvent" in capsys.readouterr().out
+    assert main(["run", "nothing", "--data", sf]) == 2
+    assert main(["run", "month_keys", "--data", sf, "--out", str(tmp_path / "out"), "--format", "json"]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() > 0
