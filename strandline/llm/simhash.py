@@ -220,57 +220,66 @@ def _similar(similarity: float):
 
 
 class _Search:
-    """Links by shingles, sought among the groups of keys that agree on a band."""
+    """Links by shingles, sought among the groups of keys that agree on a band, on top of links that are known."""
 
-    def __init__(self, keys: DataFrame, texts, found: DataFrame, words: int, similarity: float, crowd: int):
-        self.texts, self.found, self.words, self.similarity, self.crowd = texts, found, words, similarity, crowd
+    def __init__(self, keys: DataFrame, texts, known: DataFrame, words: int, similarity: float, crowd: int):
+        self.texts, self.known, self.words, self.similarity, self.crowd = texts, known, words, similarity, crowd
+        self.found = self.sets = None
         held = keys.select("key", "n", F.posexplode("bands").alias("last", "g"))
         several = checkpointed(held.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g"))
         self.held = checkpointed(held.join(several, "g").select("key", "n", "last", "g"))
-        self.sets = None
 
     def mixed(self, held: DataFrame) -> DataFrame:
         """The rows of groups whose members are in different components so far, with component and group size."""
-        placed = checkpointed(held.join(self.found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-        groups = checkpointed(placed.groupBy("g").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("key", "n", "component")).alias("low")).filter("c0 < c1").select("g", "m", "low"))
+        placed = held.withColumn("component", F.col("key"))
+        if self.found is not None:
+            placed = checkpointed(held.join(self.found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+        low = F.min(F.struct("key", "n", "component")).alias("low")
+        groups = checkpointed(placed.groupBy("g").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), low).filter("c0 < c1").select("g", "m", "low"))
         return checkpointed(placed.join(groups, "g"))
 
     def compare(self, pairs: DataFrame) -> None:
-        """Verify pairs(u, nu, v, nv) by their whole shingle sets and add the links to the components."""
+        """Verify pairs(u, nu, v, nv) by their whole shingle sets and bring the components up to date."""
         sized = F.least("nu", "nv") >= self.similarity * F.greatest("nu", "nv") - 1e-9
         some = checkpointed(pairs.filter(sized).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        links = self.known if self.found is None else self.found.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v")
         if some.isEmpty():
-            return
-        if self.sets is None:
-            self.sets = self.texts(self.held.select("key").distinct()).mapInArrow(_sets(self.words), "key long, shingles binary")
-            self.sets = stored(self.sets, "shingles")
-        whole = some.join(self.sets.toDF("u", "a"), "u").join(self.sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-        close = checkpointed(whole.mapInArrow(_similar(self.similarity), "u long, v long"))
-        if close.isEmpty():
-            return
-        self.found = checkpointed(components(close.unionByName(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v"))))
-
-    def stars(self) -> None:
-        """Every member against its group's smallest: large families become one component at once."""
-        rows = self.mixed(self.held).filter("component != low.component")
-        self.compare(rows.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv")))
-
-    def groups(self) -> None:
-        """All pairs of different components in small groups; crowded ones are split by further bands."""
+            close = None
+        else:
+            if self.sets is None:
+                self.sets = stored(self.texts(self.held.select("key").distinct()).mapInArrow(_sets(self.words), "key long, shingles binary"), "shingles")
+            whole = some.join(self.sets.toDF("u", "a"), "u").join(self.sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+            close = checkpointed(whole.mapInArrow(_similar(self.similarity), "u long, v long"))
+            links = links.unionByName(close)
+        if self.found is None or (close is not None and not close.isEmpty()):
+            self.found = checkpointed(components(links))
+
+    def run(self) -> DataFrame:
+        """(node, component). On each level all pairs of different components in small groups are compared, and every
+        member of a crowded one with its smallest, which joins large families at once; crowded groups that still hold
+        several components are split by a further band. The last level compares all pairs that are left."""
         held, alone = self.held, None
         for level in range(1, LEVELS + 1):
             rows = self.mixed(held)
             small = rows.filter(F.col("m") <= self.crowd) if level < LEVELS else rows
             one = small.select("g", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
             two = small.select("g", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            self.compare(one.join(two, "g").filter("cu > cv").select("u", "nu", "v", "nv"))
-            crowded = checkpointed(rows.filter(F.col("m") > self.crowd).select("key", "n", "last", "g"))
-            if level == LEVELS or crowded.isEmpty():
-                return
+            pairs = one.join(two, "g").filter("cu > cv").select("u", "nu", "v", "nv")
+            if level == LEVELS:
+                self.compare(pairs)
+                break
+            crowded = rows.filter(F.col("m") > self.crowd)
+            starred = crowded.filter("component != low.component").select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv"))
+            self.compare(pairs.unionByName(starred))
+            if crowded.isEmpty():
+                break
+            left = checkpointed(self.mixed(crowded.select("key", "n", "last", "g")).select("key", "n", "last", "g"))
+            if left.isEmpty():
+                break
             if alone is None:  # a pair that also shares a small group has been compared there
-                alone = checkpointed(crowded.select("key", F.col("last").alias("next"), F.col("g").alias("more")))
-            split = crowded.join(alone, "key").filter("next > last")
-            held = split.select("key", "n", F.col("next").alias("last"), F.xxhash64("g", "more").alias("g"))
+                alone = left.select("key", F.col("last").alias("next"), F.col("g").alias("more"))
+            held = left.join(alone, "key").filter("next > last").select("key", "n", F.col("next").alias("last"), F.xxhash64("g", "more").alias("g"))
+        return self.found
 
 
 def _near(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float, crowd: int) -> DataFrame:
@@ -286,16 +295,14 @@ def _near(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int,
     same = keys.select("key", "fp").join(base, "fp").filter("key != low").select(F.col("key").alias("u"), F.col("low").alias("v"))
     covered = links(base.select("fp"), radius, crowd)
     covered = covered.join(base.select(F.col("fp").alias("u"), F.col("low").alias("ku")), "u").join(base.select(F.col("fp").alias("v"), F.col("low").alias("kv")), "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
-    found = checkpointed(components(covered.unionByName(same)))
+    known = checkpointed(covered.unionByName(same))
 
     def texts(wanted: DataFrame) -> DataFrame:
         asked = keys.join(wanted, "key", "left_semi").select("key", F.col("rep.id").alias("aid"), F.col("rep.t").alias("at"))
         return plain.join(asked, F.col("id").eqNullSafe(F.col("aid")) & (F.col("t") == F.col("at"))).select("key", "text").dropDuplicates(["key"])
 
-    search = _Search(keys, texts, found, words, similarity, crowd)
-    search.stars()
-    search.groups()
-    named = checkpointed(keys.join(search.found, keys.key == search.found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
+    found = _Search(keys, texts, known, words, similarity, crowd).run()
+    named = checkpointed(keys.join(found, keys.key == found.node, "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
     whole = checkpointed(named.groupBy("component").agg(F.min("rep").alias("stays")))  # so that a large component's join may be split
     classes = checkpointed(named.join(whole, "component").select("key", "stays"))
     return ledger.select("id", "t", "key").join(classes, "key").select("id", "t", "stays")
@@ -306,9 +313,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covering radius, and a Jaccard similarity of `similarity` or more on the sets of word shingles, counted in full.
 
     Links of the second kind are sought among all pairs that agree on a MinHash band; see `BANDS` for the share of
-    pairs that agree on none. In each band's group every member is compared with the smallest, which joins large
-    families of copies; then members of different components are compared pair by pair in groups of at most `crowd`.
-    Larger groups are split by a second and a third band on which their members agree as well: a pair at 0.8 that
+    pairs that agree on none. In a band's group of at most `crowd` members all are compared pair by pair, in a larger one
+    every member with the smallest, which joins large families of copies. Larger groups that still hold several
+    components are split by a second and a third band on which their members agree as well: a pair at 0.8 that
     shares crowded groups alone and agrees on fewer than LEVELS bands is missed, with probability 3e-5. What is left
     on the last level is compared whatever its size: texts that agree on 15 MinHashes and yet are unlike.
 
