@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, fresh, stored
@@ -163,8 +163,6 @@ def majority_bits(hashes: np.ndarray) -> int:
 ROWS, BANDS = 5, 40
 _MIN = _mix(np.arange(101, 101 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
 _BAND = _mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-#: Groups that stay crowded are split by further bands on which their members agree, up to so many in all.
-LEVELS = 3
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -219,6 +217,13 @@ def _similar(similarity: float):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            h = np.frombuffer(raw.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key, np.int64)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], names=["key", "n", "g"])
+
+
 class _Search:
     """Links by shingles, sought among the groups of keys that agree on a band, on top of links that are known."""
 
@@ -254,31 +259,45 @@ class _Search:
         if self.found is None or (close is not None and not close.isEmpty()):
             self.found = checkpointed(components(links))
 
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """All pairs of different components in the groups. Where the place of the shared shingle in either order of
+        shingles is known, a pair whose remaining shingles are too few for the similarity is left out: at the first
+        shingle that two similar sets share, none is."""
+        placed = "place" in rows.columns
+        side = lambda x: rows.select("g", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *([F.col("place").alias(f"p{x}")] if placed else []))
+        both = side("u").join(side("v"), "g").filter("cu > cv")
+        if placed:
+            share = self.similarity / (1 + self.similarity)
+            both = both.filter(1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= F.lit(share) * (F.col("nu") + F.col("nv")) - 1e-9)
+        return both.select("u", "nu", "v", "nv")
+
+    def stars(self, held: DataFrame) -> None:
+        rows = self.mixed(held).filter("component != low.component")
+        self.compare(rows.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv")))
+
+    def rarest(self, keys: DataFrame) -> DataFrame:
+        """(key, n, g, place): for each key as many of its shingles, the rarest among all of `keys`, as it takes for any two
+        of the similarity sought to share one: two sets that share none of them differ in too many others."""
+        every = checkpointed(self.sets.join(keys, "key", "left_semi").mapInArrow(_exploded, "key long, n long, g long"))
+        often = checkpointed(every.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"))
+        met = every.join(often, "g")
+        alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))  # shingles of no other key come first
+        place = F.row_number().over(Window.partitionBy("key").orderBy("m", "g"))
+        most = F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - 1e-9) + 1
+        return met.withColumn("place", place + alone).filter(F.col("place") <= most).select("key", "n", "g", "place")
+
     def run(self) -> DataFrame:
-        """(node, component). On each level all pairs of different components in small groups are compared, and every
-        member of a crowded one with its smallest, which joins large families at once; crowded groups that still hold
-        several components are split by a further band. The last level compares all pairs that are left."""
-        held, alone = self.held, None
-        for level in range(1, LEVELS + 1):
-            rows = self.mixed(held)
-            small = rows.filter(F.col("m") <= self.crowd) if level < LEVELS else rows
-            one = small.select("g", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-            two = small.select("g", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            pairs = one.join(two, "g").filter("cu > cv").select("u", "nu", "v", "nv")
-            if level == LEVELS:
-                self.compare(pairs)
-                break
-            crowded = rows.filter(F.col("m") > self.crowd)
-            starred = crowded.filter("component != low.component").select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv"))
-            self.compare(pairs.unionByName(starred))
-            if crowded.isEmpty():
-                break
-            left = checkpointed(self.mixed(crowded.select("key", "n", "last", "g")).select("key", "n", "last", "g"))
-            if left.isEmpty():
-                break
-            if alone is None:  # a pair that also shares a small group has been compared there
-                alone = left.select("key", F.col("last").alias("next"), F.col("g").alias("more"))
-            held = left.join(alone, "key").filter("next > last").select("key", "n", F.col("next").alias("last"), F.xxhash64("g", "more").alias("g"))
+        """(node, component). In each group every member is first compared with the group's smallest, which joins
+        families of copies; then all pairs of different components in small groups are compared. The members of larger
+        groups that still hold several components meet anew by their rarest shingles, which loses no pair."""
+        self.stars(self.held)
+        rows = self.mixed(self.held)
+        self.compare(self.pairs(rows.filter(F.col("m") <= self.crowd)))
+        left = checkpointed(rows.filter(F.col("m") > self.crowd).select("key").distinct())
+        if not left.isEmpty():
+            held = checkpointed(self.rarest(left))
+            self.stars(held)
+            self.compare(self.pairs(self.mixed(held)))
         return self.found
 
 
@@ -313,11 +332,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covering radius, and a Jaccard similarity of `similarity` or more on the sets of word shingles, counted in full.
 
     Links of the second kind are sought among all pairs that agree on a MinHash band; see `BANDS` for the share of
-    pairs that agree on none. In a band's group of at most `crowd` members all are compared pair by pair, in a larger one
-    every member with the smallest, which joins large families of copies. Larger groups that still hold several
-    components are split by a second and a third band on which their members agree as well: a pair at 0.8 that
-    shares crowded groups alone and agrees on fewer than LEVELS bands is missed, with probability 3e-5. What is left
-    on the last level is compared whatever its size: texts that agree on 15 MinHashes and yet are unlike.
+    pairs that agree on none. In a band's group every member is compared with the smallest, which joins large families
+    of copies; then members of different components pair by pair, in groups of at most `crowd`. The members of larger
+    groups that still hold several components, such as texts around one common passage, meet anew by the rarest fifth
+    of their shingles, without loss; these groups are compared pair by pair whatever their size.
 
     Null, empty and word-free texts are one class. Rows that repeat an id are judged by their text each. A null id
     takes part and gives the component its id only where it has no other. Other columns are ignored whatever their
