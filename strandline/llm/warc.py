@@ -91,15 +91,17 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "202
     Of the records with equal payloads of at least min_revisit_bytes, the one with the largest page id is the
     response and the others are revisits of it; smaller payloads are all responses. Rows that repeat a page id with
     the same payload are the same page: they share its type. A null page id comes before all others. Other columns are
-    ignored. An empty table gives an archive without records. There are as many buckets as shuffle partitions.
+    ignored. An empty table gives an archive without records. There are as many buckets as shuffle
+    partitions, and more where one would hold more than 64 MB of payloads.
     """
     spark = pages.sparkSession
     base = path or shared_path(spark, "archive")
     name = f"strandline_{uuid.uuid4().hex}"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     scanned = pages.select(F.col("page_id"), F.col("url"), html.alias("payload"))
     digests = checkpointed(scanned.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")))
+    size = digests.agg(F.sum("payload_bytes")).first()[0] or 0
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
     order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
     # Written first, so that the join is of two plain exchanges, which the digest of a common page may split.
     owners = checkpointed(digests.groupBy("sha256").agg(F.max(order).alias("owner")))
@@ -119,7 +121,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "202
     alike = F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads share a digest")).cast("binary"))
     payloads = save(copies.select("sha256", alike.alias("payload")), "payloads", True)
     # Rows that repeat the owner have equal headers: one of them is the payload's, the rest are kept beside.
-    first = records.filter("is_owner").groupBy("sha256", "header").agg(F.count("*").alias("rows"))
+    first = records.filter("is_owner").repartition(buckets, "sha256").groupBy("sha256", "header").agg(F.count("*").alias("rows"))
     first = save(first, "first", True)
     return Archive(payloads, first, save(records.filter("NOT is_owner").select("sha256", "header", "is_response"), "others", False), base)
 
