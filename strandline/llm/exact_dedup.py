@@ -73,19 +73,20 @@ def build_directory(hashes: DataFrame, capacity: int, max_depth: int) -> tuple[D
 _BEST = "min(struct(-points AS points, id IS NULL AS none, id))"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 24, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 24, hash_bits: int = 64, task_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """The ledger (owner, h, id) of docs and their index: owner, depth, bucket (the first hash prefix of the bucket),
     h, chain (place among entries with the same hash, from 0), chained (entries with that hash), sha, keep_id,
-    group_size, and norm, the text itself, where there is more than one entry."""
+    group_size, and norm, the text itself, where there is more than one entry. The tasks of
+    the owners are as many as shuffle partitions, and more where one would get more than `task_bytes` of texts."""
     keyed = _keyed(docs, id_col, text_col, hash_bits)
-    ledger = stored(keyed.select("id", "h"), "ledger")
-    held = checkpointed(ledger.groupBy("h").agg(F.count("*").alias("n")))
-    rows = held.agg(F.sum("n")).first()[0] or 0
+    ledger = stored(keyed.select("id", "h", F.octet_length("norm").cast("long").alias("size")), "ledger")
+    held = checkpointed(ledger.groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    rows, size = (x or 0 for x in held.agg(F.sum("n"), F.sum("size")).first())
     common = F.broadcast(checkpointed(held.filter(F.col("n") > max(rows / _SHARE, 16)).select("h")))  # fewer than _SHARE
     buckets, depth = build_directory(held.select("h"), capacity, max_depth)
     shallow = buckets.agg(F.min("depth")).first()[0]
     # No bucket is split between owners: they are at most as many as the shallowest bucket's depth gives.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / task_bytes))
     bits = min(shallow, math.ceil(math.log2(16 * parts)))
     few = keyed.join(common, "h", "left_semi").groupBy(F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"), "h", "norm").agg(F.count("*").alias("n"), F.expr(_BEST).alias("best"))
     rest = keyed.join(common, "h", "left_anti").select("h", "norm", F.lit(1).cast("long").alias("n"), F.expr("struct(-points AS points, id IS NULL AS none, id) AS best"))
@@ -99,7 +100,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probes = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("h"), d).alias("prefix")) for d in range(shallow, depth + 1)])
     index = written.withColumn("p", F.explode(probes)).select("*", "p.depth", "p.prefix").join(buckets.drop("n"), ["depth", "prefix"])
     index = index.withColumn("bucket", F.expr("IF(depth = 0, 0L, shiftleft(prefix, 64 - depth))")).drop("p", "prefix")
-    return ledger.withColumn("owner", _prefix(F.col("h"), bits)), index
+    return ledger.select("id", "h", _prefix(F.col("h"), bits).alias("owner")), index
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_depth: int = 24, hash_bits: int = 64) -> DataFrame:
