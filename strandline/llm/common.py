@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clear_stored, fresh, shared_dir, shared_path, stored  # noqa: F401  shared by the operators
+
 #: The white space of the text contracts: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,54 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset a local one is made, on a
-    local master only: on a cluster the executors would not see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not base:
-        base = context.getCheckpointDir()
-        if not base:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="strandline-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a written table. A checkpoint would hand on the constraints that the optimizer has
     inferred, which multiply from round to round of an iteration; a table's files hold rows alone."""
     return stored(df, "step")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as compressed Parquet to the shared folder and read back. The files stay, as a lazy result may read
-    them at any time; `clear_stored` removes those of a session."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Remove what `stored` and the archives wrote under the shared folder; no result that reads it may be in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """name, with as many underscores before it as it takes to differ from all columns in `taken`, in any case."""
-    known = {c.lower() for c in taken}
-    while name.lower() in known:
-        name = "_" + name
-    return name
-
-
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """The component of every node of edges(u, v): rows (node, component), component being its smallest node.
 
