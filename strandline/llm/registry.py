@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bfd, bpe, chat, exact_dedup, line_dedup, merkle, pii, quality, sharding, simhash, swap_packing, warc
+from . import alignment, bfd, bpe, chat, exact_dedup, line_dedup, merkle, pii, quality, sharding, simhash, swap_packing, warc
 from .common import table
 
 
@@ -54,11 +54,15 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packed_matrices, op3_line_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_warc, op8_chat, op9_pii, op10_swap_packing, op11_sharding, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packed_matrices, op3_line_dedup, op4_simhash, op5_byte_bpe, op6_quality_rules, op7_warc, op8_chat, op9_pii, op10_swap_packing, op11_sharding, op12_alignment, op13_merkle_manifest)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
 
 
