@@ -149,13 +149,13 @@ def _listed(column: str) -> Column:
 
 def described(rows: DataFrame) -> DataFrame:
     """A row for each text of `aligned`: doc, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`) and links, an
-    array of (pair, n): the two ids in one number, and how often they are linked."""
-    groups = rows.groupBy("doc", "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("*").alias("n_links"), F.concat(_listed("a"), F.lit("|"), _listed("b")).alias("text"))
+    array of the linked pairs as often as they are linked, the two ids of a pair in one number. A partitioning of rows
+    by the text serves all of it."""
+    pair = F.shiftleft(F.col("la").cast("long"), 32) + F.col("lb")
+    groups = rows.groupBy("doc", "grp").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("*").alias("n_links"), F.concat(_listed("a"), F.lit("|"), _listed("b")).alias("text"), F.collect_list(pair).alias("links"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("grp")).alias("place"), "text")))
-    whole = groups.groupBy("doc").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links"), F.array_join(F.transform(ordered, lambda x: x["text"]), ";").alias("groups"))
-    pair = (F.shiftleft(F.col("la").cast("long"), 32) + F.col("lb")).alias("pair")
-    links = rows.groupBy("doc", pair).agg(F.count("*").alias("n")).groupBy("doc").agg(F.collect_list(F.struct("pair", "n")).alias("links"))
-    return whole.join(links, "doc")
+    sums = [F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links")]
+    return groups.groupBy("doc").agg(*sums, F.array_join(F.transform(ordered, lambda x: x["text"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
 
 
 def aligned_words(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -165,8 +165,7 @@ def aligned_words(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
     tokens = stored(tokenized(words, path_a, path_b), "tokens").filter("a IS NOT NULL").repartition(n, "wid")
     sides = [tokens.select(F.col("wid").alias("doc"), F.posexplode(F.arrays_zip(F.col(x).alias("id"), F.col(f"{x}_bytes").alias("n"))).alias("pos", "t")).select("doc", "pos", "t.id", "t.n") for x in ("a", "b")]
     with _together(spark):
-        rows = stored(aligned(*sides), "ends").repartition(n, "doc")
-        return stored(described(rows), "words")
+        return stored(described(aligned(*sides)), "words")
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -202,7 +201,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     rare = stored(rare.join(words.select("word", "wid"), "word").select("k", "pos", "wid"), "rare")
 
     # How many documents hold a pair: the pairs of a document's common words and of its rare ones, each but once.
-    pairs = F.transform("links", lambda x: x["pair"])
+    pairs = F.array_distinct("links")
     by_word = F.broadcast(known.join(facts.select("wid", pairs.alias("pairs")), "wid").select("word", "pairs"))
     here = texts.select("k", F.explode(F.array_distinct(split)).alias("word")).join(by_word, "word").select("k", F.explode("pairs").alias("pair")).distinct()
     there = rare.select("k", "wid").join(facts.select("wid", pairs.alias("pairs")), "wid").select("k", F.explode("pairs").alias("pair")).repartition(n, "k").distinct()
@@ -210,8 +209,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         held = stored(here.join(there, ["k", "pair"], "full").groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
     most = held.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
     ranked = stored(held.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "ranked")
-    weighed = facts.select("wid", F.explode("links").alias("link")).select("wid", "link.*").join(ranked, "pair")
-    weighed = weighed.groupBy("wid").agg(F.sum(F.col("n") * F.col("docs")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"))
+    weighed = facts.select("wid", F.explode("links").alias("pair")).join(ranked, "pair")
+    weighed = weighed.groupBy("wid").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
     # A word that only lost documents hold has no weights, and no document asks for them.
     facts = stored(facts.drop("links").join(weighed, "wid", "left"), "facts")
 
