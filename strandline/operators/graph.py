@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .knn import knn_edges  # noqa: F401
+from .spectral import laplacian_eigen  # noqa: F401
+
 
 def default_k(n: int) -> int:
     return min(30, max(10, int(n**0.5)))
@@ -17,20 +20,6 @@ def k_candidates(n: int) -> list[int]:
     return sorted({max(2, k - 5), k, k + 5})
 
 
-def knn_edges(vectors: DataFrame, k: int) -> DataFrame:
-    """(block, i, j, d, rank): the k nearest neighbours of each vector(block, id, v array) within its block, ties by id.
-
-    Pairs are made within a block only, by an equi-join on it: a block is a variant's states, whose number is fixed by
-    the calendar.
-    """
-    a = vectors.select("block", F.col("id").alias("i"), F.col("v").alias("a"))
-    b = vectors.select("block", F.col("id").alias("j"), F.col("v").alias("b"))
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, "block").filter("i != j").select("block", "i", "j", d.alias("d"))
-    w = Window.partitionBy("block", "i").orderBy("d", "j")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def affinities(edges: DataFrame, k: int) -> DataFrame:
     """exp(-d^2 / (sigma_i sigma_j)) with sigma the distance to the k-th neighbour, kept where either end has the edge."""
     sigma = edges.filter(F.col("rank") == k).select("block", F.col("i").alias("n"), F.col("d").alias("sigma"))
@@ -48,29 +37,6 @@ def density_normalised(aff: DataFrame, alpha: float) -> DataFrame:
     return n.withColumn("degree", F.sum("a").over(Window.partitionBy("block", "i")))
 
 
-def laplacian_eigen(aff: DataFrame, count: int) -> DataFrame:
-    """Leading eigenpairs of each block's normalised Laplacian: (block, l, value, i, phi), phi scaled to unit mean square and
-    signed, the constant one first."""
-
-    def run(key, pdf):
-        ids = np.unique(pdf["i"].to_numpy())
-        at = {x: n for n, x in enumerate(ids)}
-        a = np.zeros((len(ids), len(ids)))
-        a[[at[x] for x in pdf["i"]], [at[x] for x in pdf["j"]]] = pdf["a"]
-        a = (a + a.T) / 2
-        root = 1 / np.sqrt(a.sum(axis=1))
-        values, v = np.linalg.eigh(np.eye(len(ids)) - a * root[:, None] * root[None])
-        phi = v * root[:, None]
-        phi /= np.sqrt((phi**2).mean(axis=0))
-        big = np.abs(phi).argmax(axis=0)
-        phi *= np.sign(phi[big, np.arange(phi.shape[1])])
-        m = min(count, len(ids))
-        return pd.DataFrame({"block": key[0], "l": np.repeat(np.arange(m), len(ids)), "value": np.repeat(np.clip(values[:m], 0, None), len(ids)), "i": np.tile(ids, m), "phi": phi[:, :m].T.ravel()})
-
-    kind = aff.schema["block"].dataType.simpleString()
-    return aff.groupBy("block").applyInPandas(run, f"block {kind}, l int, value double, i long, phi double")
-
-
 def ridge_grid(eigen: DataFrame, targets: DataFrame, lambdas: list[float], folds: int) -> DataFrame:
     """Blocked cross-validation of ridge on Laplacian eigenfunctions, the eigenvalue as penalty and the intercept free:
     (block, lam, cv_error, edf). targets(block, i, y); folds are contiguous in i."""
