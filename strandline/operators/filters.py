@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import average_rank
+from .scans import decayed, ewma  # noqa: F401
+
 
 def _w(key: list[str]):
     return Window.partitionBy(*key).orderBy("t")
@@ -20,24 +23,9 @@ def bartlett(df: DataFrame, value: str, key: list[str], lag: int, mode: str = "d
     return (out.filter(F.col("_n") == lag + 1) if mode == "drop" else out).drop("_n")
 
 
-def exponential(df: DataFrame, value: str, key: list[str], half_life: float, reach: float = 1e-17) -> DataFrame:
-    """sum over s <= t of a^(t-s) x_s with a = 0.5^(1/half_life), from the terms whose weight exceeds `reach`."""
-    import math
-
-    a = 0.5 ** (1.0 / half_life)
-    span = math.ceil(math.log(reach) / math.log(a))
-    terms = df.select(*key, F.col("t").alias("s"), F.col(value).alias("x")).withColumn("t", F.explode(F.sequence(F.col("s"), F.col("s") + span)))
-    return df.select(*key, "t").join(terms, [*key, "t"]).groupBy(*key, "t").agg(F.sum(F.pow(F.lit(a), F.col("t") - F.col("s")) * F.col("x")).alias("filtered"))
-
-
-def ewma(df: DataFrame, value: str, key: list[str], half_life: float | None) -> DataFrame:
-    """The causal mean m_t = a m_{t-1} + (1 - a) x_t from m = 0, before and after seeing x_t; without a half-life a = 1
-    and the mean stays zero."""
-    if half_life is None:
-        return df.select(*key, "t", F.lit(0.0).alias("before"), F.lit(0.0).alias("after"))
-    a = 0.5 ** (1.0 / half_life)
-    after = exponential(df, value, key, half_life).withColumn("after", (1 - a) * F.col("filtered")).drop("filtered")
-    return after.withColumn("before", F.coalesce(F.lag("after").over(_w(key)), F.lit(0.0)))
+def exponential(df: DataFrame, value: str, key: list[str], half_life: float) -> DataFrame:
+    """sum over s <= t of a^(t-s) x_s with a = 0.5^(1/half_life), as (key.., t, filtered)."""
+    return decayed(df.select(*key, "t", value), value, key, half_life).drop(value)
 
 
 def cumulative(df: DataFrame, value: str, key: list[str]) -> DataFrame:
@@ -46,15 +34,10 @@ def cumulative(df: DataFrame, value: str, key: list[str]) -> DataFrame:
     return df.withColumn("running", running).withColumn("running_share", running / F.sum(value).over(Window.partitionBy(*key)))
 
 
-def average_rank(df: DataFrame, value: str, key: list[str], name: str = "avg_rank") -> DataFrame:
-    """Rank from 1, ties sharing their average."""
-    tie = F.count("*").over(Window.partitionBy(*key, value))
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*key).orderBy(value)) + (tie - 1) / 2.0)
-
-
 def percentile_rank(df: DataFrame, value: str, key: list[str], name: str = "pct") -> DataFrame:
     """Average rank over the count."""
-    return average_rank(df, value, key, "_r").withColumn(name, F.col("_r") / F.count("*").over(Window.partitionBy(*key))).drop("_r")
+    n = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    return average_rank(df, value, key, "_r").join(n, key).withColumn(name, F.col("_r") / F.col("_n")).drop("_r", "_n")
 
 
 def driver_labels(df: DataFrame, first: str, second: str, margin: float = 0.10, high: float = 0.75) -> DataFrame:

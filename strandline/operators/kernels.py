@@ -109,21 +109,18 @@ def hac_target(vectors: DataFrame, lag: int, eta: float = 0.08) -> DataFrame:
 
 
 def volterra_features(x: np.ndarray, half_lives: tuple[float, ...], level: int) -> np.ndarray:
-    """Fading-memory signature features of a path, levels 1 to 3, for each half-life, z-scored."""
-    n, r = x.shape
+    """Fading-memory signature features of a path, levels 1 to 3, for each half-life, z-scored: what `scans.signature` says
+    of a long table, for one short path. A level's terms are what the level below holds from before times the path."""
+    age = np.subtract.outer(np.arange(len(x)), np.arange(len(x)))
     out = []
     for half in half_lives:
-        a = 2.0 ** (-1.0 / half)
-        h1, h2, h3 = np.zeros(r), np.zeros((r, r)), np.zeros((r, r, r))
-        rows = []
-        for row in x:
-            if level >= 3:
-                h3 = a * h3 + a * h2[:, :, None] * row
-            if level >= 2:
-                h2 = a * h2 + a * h1[:, None] * row
-            h1 = a * h1 + row
-            rows.append(np.concatenate([h1, *([h2.ravel()] if level >= 2 else []), *([h3.ravel()] if level >= 3 else [])]))
-        out.append(np.array(rows))
+        decay = np.where(age >= 0, 0.5 ** (np.maximum(age, 0) / half), 0.0)
+        terms = x
+        for depth in range(level):
+            held = decay @ terms
+            out.append(held)
+            if depth + 1 < level:
+                terms = ((held - terms)[:, :, None] * x[:, None, :]).reshape(len(x), -1)
     return zscore(np.concatenate(out, axis=1))
 
 
