@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spectral import gram
+
 KEY = ["variant"]
 
 
@@ -163,3 +167,55 @@ def sufficient_stats(scores: DataFrame, draws: DataFrame) -> DataFrame:
     """Sums over each draw's places of the score of every coordinate, counts and squares: rows resampled, not refitted."""
     counts = draws.groupBy("draw", "t").agg(F.count("*").alias("c"))
     return scores.join(counts, "t").groupBy("variant", "draw", "k").agg(F.sum("c").alias("n_rows"), F.sum(F.col("c") * F.col("psi")).alias("s1"), F.sum(F.col("c") * F.col("psi") * F.col("psi")).alias("s2"))
+
+
+def partialled(rows: DataFrame, controls: int) -> DataFrame:
+    """rows(block, .., b array) with r, the residuals of b's columns from number `controls` on, on those before, for any
+    number of rows. The first control is a constant, so the others may be taken from their means first. Tasks sum up
+    the products of the columns; a block's normal equations, whose size is that of b, are solved in a task after
+    scaling, and their coefficients join the rows again. Columns that depend on others count once."""
+    means = rows.select("block", F.posexplode("b").alias("at", "x")).groupBy("block", "at").agg(F.avg("x").alias("x"))
+    means = means.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("at") > 0, F.col("x")).otherwise(0.0).alias("x")))).alias("mean"))
+    rows = rows.join(means, "block").withColumn("b", F.zip_with("b", "mean", lambda x, m: x - m["x"])).drop("mean")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(round(len(pdf) ** 0.5))
+        g = np.zeros(n * n)
+        g[pdf["at"].to_numpy()] = pdf["g"].to_numpy()
+        g = g.reshape(n, n)
+        scale = np.sqrt(np.maximum(np.diag(g)[:controls], 1e-300))
+        a = g[:controls, :controls] / scale[:, None] / scale[None]
+        coef = np.linalg.lstsq(a, g[:controls, controls:] / scale[:, None], rcond=1e-12)[0] / scale[:, None]
+        return pd.DataFrame({"block": [key[0]], "coef": [coef.T.tolist()]})
+
+    kind = rows.schema["block"].dataType.simpleString()
+    coef = gram(rows).groupBy("block").applyInPandas(solve, f"block {kind}, coef array<array<double>>")
+    fitted = lambda c: F.aggregate(F.zip_with(c, F.slice("b", 1, controls), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rest = F.slice("b", controls + 1, F.size("b"))
+    return rows.join(coef, "block").withColumn("r", F.zip_with(rest, F.transform("coef", fitted), lambda y, f: y - f)).drop("coef")
+
+
+def control_set(outcomes: list[str], policy: str, control: str, lag: int, over) -> list[Column]:
+    """The full set: a constant, time, the control and its lags, lags of the policy, of the outcomes and their changes.
+    Time is counted in hundreds of months."""
+    back = lambda c, n: F.lag(c, n).over(over)
+    lags = range(1, lag + 1)
+    own = [F.lit(1.0), F.col("t") / 100.0, F.col(control), *[back(c, n) for c in (policy, control) for n in lags]]
+    return own + [x for n in lags for c in outcomes for x in (back(c, n), back(c, n) - back(c, n + 1))]
+
+
+def iv_scores_on(panel: DataFrame, outcomes: list[str], policy: str, instrument: str, controls: list[Column], over, horizon: int = 3) -> DataFrame:
+    """`iv_scores` with any set of controls, columns over the panel and the window `over` of its rows: policy, instrument and
+    all responses are residuals on all of them, from rows where nothing is missing."""
+    ahead = [F.lead(c, h).over(over) - F.lag(c, 1).over(over) for h in range(horizon + 1) for c in outcomes]
+    b = F.array(*[x.cast("double") for x in (*controls, F.col(policy), F.col(instrument), *ahead)])
+    rows = panel.select(F.col("variant").alias("block"), "t", "date", b.alias("b")).filter(F.forall("b", lambda x: x.isNotNull()))
+    left = partialled(rows, len(controls))
+    width = len(outcomes)
+    x, z = F.col("r")[0], F.col("r")[1]
+    long = left.select(F.col("block").alias("variant"), "t", "date", x.alias("x"), z.alias("z"), F.posexplode(F.slice("r", 3, F.size("r"))).alias("k", "yr"))
+    means = long.groupBy("variant", "k").agg(F.avg(F.col("z") * F.col("x")).alias("q"), F.avg(F.col("z") * F.col("yr")).alias("zy"))
+    long = long.join(means, ["variant", "k"])
+    rf, fs = F.col("z") * F.col("yr") / F.col("q"), -F.col("z") * F.col("x") * F.col("zy") / (F.col("q") * F.col("q"))
+    h, j = F.floor(F.col("k") / width).cast("int"), F.pmod("k", F.lit(width)).cast("int")
+    return long.select("variant", "t", "date", h.alias("h"), j.alias("j"), "k", (rf + fs).alias("psi"), rf.alias("psi_rf"), fs.alias("psi_fs"))
