@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, controls, dense, etl, extra, more, paths, recursions, streams  # noqa: F401  importing a plan module registers its queries
+from . import base, cells, controls, dense, etl, extra, more, paths, recursions, streams  # noqa: F401  importing a plan module registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
