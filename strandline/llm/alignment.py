@@ -206,7 +206,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     here = texts.select("k", F.explode(F.array_distinct(split)).alias("word")).join(by_word, "word").select("k", F.explode("pairs").alias("pair")).distinct()
     there = rare.select("k", "wid").join(facts.select("wid", pairs.alias("pairs")), "wid").select("k", F.explode("pairs").alias("pair")).repartition(n, "k").distinct()
     with _together(spark):
-        held = stored(here.join(there, ["k", "pair"], "full").groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
+        held = stored(here.join(there.hint("shuffle_hash"), ["k", "pair"], "full").groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
     most = held.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
     ranked = stored(held.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "ranked")
     weighed = facts.select("wid", F.explode("links").alias("pair")).join(ranked, "pair")
