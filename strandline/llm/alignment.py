@@ -38,6 +38,11 @@ _BOUNDARY = rf"(?=[ \n]{_SOLID})(?<={_SOLID})"
 _NOWHERE = r"(?!)"
 
 
+#: Documents lie in two buckets for each shuffle partition, so that a bucket's words are sorted in memory; Spark takes at
+#: most 100,000.
+_BUCKETS = 50_000
+
+
 @contextlib.contextmanager
 def _together(spark: SparkSession):
     """Joins on a key and more use a partitioning by the key alone while in force; what runs meanwhile is written."""
@@ -180,7 +185,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     are ignored; an empty table gives no rows. At most `common` words are broadcast.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), _BUCKETS)
     split = F.split("full", boundary(path_a, path_b))
     text = F.when(F.octet_length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col)))
     # Bucketed by a key of the row's own, so that all that follows reads a document where it lies.
