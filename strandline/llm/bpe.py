@@ -160,8 +160,10 @@ class Encoder:
     """Text to ids by a rank file, as a reference encoder of such files does without special tokens."""
 
     LONG = 256
+    #: What an entry of the memo takes besides its text and ids.
+    ENTRY = 160
 
-    def __init__(self, path: str, memo_size: int = 1_000_000):
+    def __init__(self, path: str, memo_bytes: int = 256 << 20):
         self.ranks = load_ranks(path)
         self.pairs = PairTable(self.ranks)
         self.split = Splitter()
@@ -170,7 +172,7 @@ class Encoder:
             self.bytes_of[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
-        self.memo_size = memo_size
+        self.memo_bytes, self.held = memo_bytes, 0
 
     def _learn(self, pieces: list[str]) -> None:
         """Put the ids of pieces, as little-endian unsigned 32-bit integers, into the memo."""
@@ -194,17 +196,24 @@ class Encoder:
                 self.memo.update(zip([p for p, _ in part], _merge_bucket(matrix, lengths, self.pairs)))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty. The memo is emptied when it
+        holds more than its bytes; pieces of more than LONG bytes are forgotten after their 256 texts."""
         for lo in range(0, len(texts), 256):
             split = [self.split(t or "") for t in texts[lo : lo + 256]]
-            if len(self.memo) > self.memo_size:
+            if self.held > self.memo_bytes:
                 self.memo.clear()
+                self.held = 0
             memo = self.memo
             new = {p for pieces in split for p in pieces if p not in memo}
             if new:
                 self._learn(list(new))
             for pieces in split:
                 yield b"".join([memo[p] for p in pieces])
+            for p in new:
+                if len(p) > self.LONG or len(memo[p]) > 4 * self.LONG:
+                    del memo[p]
+                else:
+                    self.held += self.ENTRY + len(p) + len(memo[p])
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.bytes_of

@@ -37,7 +37,7 @@ def test_ids_equal_the_library(library):
 
 
 def test_small_memo_gives_the_same_ids():
-    small = bpe.Encoder(MULTI, memo_size=3)
+    small = bpe.Encoder(MULTI, memo_bytes=500)
     assert list(small.encode_batch(texts()[:60])) == list(bpe.Encoder(MULTI).encode_batch(texts()[:60]))
 
 
