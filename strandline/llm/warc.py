@@ -51,6 +51,11 @@ class Archive:
     path: str
 
 
+def bucket_count(size: int, partitions: int, most: int = 100_000) -> int:
+    """Buckets for `size` bytes of payloads: a multiple of the shuffle partitions, `most` at most, of 64 MB if that allows."""
+    return partitions * max(1, min(-(-size // (partitions * (64 << 20))), most // partitions)) if partitions <= most else most
+
+
 def _record_id(page_id: Column, target: Column) -> Column:
     h = F.md5(F.concat_ws("|", page_id.cast("string"), F.coalesce(target, F.lit(""))))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -92,7 +97,8 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "202
     response and the others are revisits of it; smaller payloads are all responses. Rows that repeat a page id with
     the same payload are the same page: they share its type. A null page id comes before all others. Other columns are
     ignored. An empty table gives an archive without records. There are as many buckets as shuffle
-    partitions, and more where one would hold more than 64 MB of payloads.
+    partitions, or a multiple of them where one would hold more than 64 MB of payloads, up to Spark's limit; beyond that
+    they grow, and joins spill.
     """
     spark = pages.sparkSession
     base = path or shared_path(spark, "archive")
@@ -101,7 +107,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "202
     scanned = pages.select(F.col("page_id"), F.col("url"), html.alias("payload"))
     digests = checkpointed(scanned.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")))
     size = digests.agg(F.sum("payload_bytes")).first()[0] or 0
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
+    buckets = buckets or bucket_count(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
     # Written first, so that the join is of two plain exchanges, which the digest of a common page may split.
     owners = checkpointed(digests.groupBy("sha256").agg(F.max(order).alias("owner")))
@@ -116,9 +122,11 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "202
         (writer.bucketBy(buckets, "sha256") if keyed else writer).saveAsTable(f"{name}_{table}")
         return f"{name}_{table}"
 
-    # One copy of each payload: what shares a digest must be the same bytes.
-    copies = scanned.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.min("payload").alias("payload"), F.max("payload").alias("other"))
-    alike = F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads share a digest")).cast("binary"))
+    # One copy of each payload crosses the network: what shares an address must agree in its other digest and its length. The
+    # aggregation's partitions are as the buckets, or each holds some whole ones, so a bucket is one file.
+    other = F.struct(F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("bytes"))
+    copies = scanned.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload"), F.min(other).alias("least"), F.max(other).alias("most"))
+    alike = F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads share a digest")).cast("binary"))
     payloads = save(copies.select("sha256", alike.alias("payload")), "payloads", True)
     # Rows that repeat the owner have equal headers: one of them is the payload's, the rest are kept beside.
     first = records.filter("is_owner").repartition(buckets, "sha256").groupBy("sha256", "header").agg(F.count("*").alias("rows"))

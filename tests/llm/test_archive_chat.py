@@ -119,3 +119,19 @@ def test_a_hash_alone_drops_nothing(spark, monkeypatch):
     rows = [(c, t, "user", f"{c} {t}") for c, n in ((1, 2), (2, 3)) for t in range(n)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert all(r.kept for r in chat.format_chats(df).collect())
+
+
+def test_buckets_stay_within_the_limit():
+    for tb in (0, 1, 10, 100, 1000):
+        for partitions in (1, 7, 200, 30_000, 200_000):
+            n = warc.bucket_count(tb * 10**12, partitions)
+            assert 1 <= n <= 100_000 and (n % partitions == 0 or partitions > 100_000)
+    assert warc.bucket_count(640 << 20, 2) == 10 and warc.bucket_count(1, 8) == 8
+
+
+def test_one_file_a_bucket_of_payloads(spark, tmp_path):
+    pages = spark.range(4000).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id % 3000) AS html")
+    archive = warc.write_archive(pages, path=str(tmp_path / "a"), buckets=12)  # three times the partitions
+    files = list((tmp_path / "a" / "payloads").glob("*.parquet"))
+    assert len(files) == 12
+    assert spark.read.table(archive.payloads).count() == 3000
