@@ -85,3 +85,17 @@ def volterra_level_one(df: DataFrame, value: str, key: list[str], half_lives: li
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def fold_moments(df: DataFrame, value: str, key: list[str], fold: str = "fold") -> DataFrame:
+    """(key.., fold, n_test, mean_test, n_train, mean_train, var_train): of each fold and of everything else in its key. df is
+    read once: what is not in a fold is the total less the fold, in sums about the key's mean."""
+    centre = df.groupBy(*key).agg(F.avg(value).alias("_mean"))
+    d = F.col(value) - F.col("_mean")
+    own = df.join(centre, key).groupBy(*key, fold).agg(F.first("_mean").alias("_mean"), F.count(value).alias("n_test"), F.sum(d).alias("_s"), F.sum(d * d).alias("_q"))
+    over = Window.partitionBy(*key)
+    n, s, q = (F.sum(c).over(over) - F.col(c) for c in ("n_test", "_s", "_q"))
+    out = own.withColumn("n_train", n).withColumn("_ts", s).withColumn("_tq", q)
+    some = F.when(F.col("n_train") > 0, F.col("n_train"))
+    mean = F.col("_ts") / some
+    return out.select(*key, fold, "n_test", (F.col("_mean") + F.col("_s") / F.nullif(F.col("n_test"), F.lit(0))).alias("mean_test"), "n_train", (F.col("_mean") + mean).alias("mean_train"), (F.col("_tq") / some - mean * mean).alias("var_train"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .knn import knn_edges  # noqa: F401
-from .spectral import laplacian_eigen  # noqa: F401
+from .ranks import placed
+from .spectral import gram, laplacian_eigen  # noqa: F401
 
 
 def default_k(n: int) -> int:
@@ -39,29 +40,41 @@ def density_normalised(aff: DataFrame, alpha: float) -> DataFrame:
 
 def ridge_grid(eigen: DataFrame, targets: DataFrame, lambdas: list[float], folds: int) -> DataFrame:
     """Blocked cross-validation of ridge on Laplacian eigenfunctions, the eigenvalue as penalty and the intercept free:
-    (block, lam, cv_error, edf). targets(block, i, y); folds are contiguous in i."""
-
-    def run(key, e, t):
-        wide = e.pivot(index="i", columns="l", values="phi").sort_index()
-        pen = np.maximum(e.groupby("l")["value"].first().sort_index().to_numpy(), 1e-8)
-        y = t.set_index("i")["y"].reindex(wide.index).to_numpy()
-        x = wide.to_numpy()
-        x[:, 0], pen[0] = 1, 0
-        n = len(y)
-        fold = np.arange(n) * folds // n
-        out = []
+    (block, lam, cv_error, edf). targets(block, i, y); folds are contiguous in i.
+
+    A fold's training set is everything less the fold, so its products are the total's less the fold's own: the rows are
+    read once, and a task solves a block from matrices of the size of the basis, for blocks of any size.
+    """
+    kind = eigen.schema["block"].dataType.simpleString()
+    wide = eigen.groupBy("block", "i").agg(F.array_sort(F.collect_list(F.struct("l", "phi"))).alias("x"))
+    rows = placed(wide.join(targets.select("block", "i", "y"), ["block", "i"]), ["block"], ["i"], "place", "n")
+    basis = F.transform(F.slice("x", 2, F.size("x")), lambda p: p["phi"])
+    fold = F.floor(F.col("place") * folds / F.col("n"))
+    own = rows.select(F.concat(fold.cast("string"), F.lit(":"), F.col("block").cast("string")).alias("block"), F.concat(F.array(F.lit(1.0)), basis, F.array(F.col("y").cast("double"))).alias("b"))
+    key = F.split("block", ":", 2)
+    grams = gram(own).select(key[1].cast(kind).alias("block"), key[0].cast("int").alias("fold"), "at", "g")
+    penalty = eigen.groupBy("block", "l").agg(F.first("value").alias("value"))
+
+    def run(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        pen = np.maximum(p.sort_values("l")["value"].to_numpy(), 1e-8)
+        pen[0] = 0
+        m = len(pen)
+        parts = np.zeros((folds, (m + 1) ** 2))
+        parts[g["fold"].to_numpy(), g["at"].to_numpy()] = g["g"].to_numpy()
+        parts = parts.reshape(folds, m + 1, m + 1)
+        total = parts.sum(axis=0)
+        n, out = total[0, 0], []
         for lam in lambdas:
-            err = 0.0
-            for f in range(folds):
-                a, b = fold != f, fold == f
-                beta = np.linalg.solve(x[a].T @ x[a] + lam * n * np.diag(pen), x[a].T @ y[a])
-                err += ((y[b] - x[b] @ beta) ** 2).sum()
-            edf = np.trace(np.linalg.solve(x.T @ x + lam * n * np.diag(pen), x.T @ x))
+            err, add = 0.0, lam * n * np.diag(pen)
+            for part in parts:
+                train = total - part
+                beta = np.append(-np.linalg.solve(train[:m, :m] + add, train[:m, m]), 1.0)
+                err += beta @ part @ beta
+            edf = np.trace(np.linalg.solve(total[:m, :m] + add, total[:m, :m]))
             out.append((key[0], lam, err / n, edf))
         return pd.DataFrame(out, columns=["block", "lam", "cv_error", "edf"])
 
-    kind = eigen.schema["block"].dataType.simpleString()
-    return eigen.groupBy("block").cogroup(targets.groupBy("block")).applyInPandas(run, f"block {kind}, lam double, cv_error double, edf double")
+    return grams.groupBy("block").cogroup(penalty.groupBy("block")).applyInPandas(run, f"block {kind}, lam double, cv_error double, edf double")
 
 
 def local_gradients(vectors: DataFrame, aff: DataFrame, values: DataFrame, ridge: float = 1e-6) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import scans
+from ..operators import filters, scans
 from .base import OUTCOMES, panel, psi, query, r, sql
 
 _TRAIN, _MEAN, _COV = 24, 12, 6
@@ -47,3 +47,12 @@ def signature_levels(spark, sf):
     path = long.select("t", "k", F.coalesce((F.col("y") - F.avg("y").over(own)) / F.stddev_pop("y").over(own), F.lit(0.0)).alias("x"))
     out = scans.signature(path, "x", [], [3.0, 12.0])
     return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("j", "l")})
+
+
+@query(sql(f"SELECT k, f.fold, count(*) FILTER (fd.fold = f.fold) AS n_test, {r('avg(psi) FILTER (fd.fold = f.fold)', 'mean_test')}, count(*) FILTER (fd.fold <> f.fold) AS n_train, {r('avg(psi) FILTER (fd.fold <> f.fold)', 'mean_train')}, {r('var_pop(psi) FILTER (fd.fold <> f.fold)', 'var_train', 4)} FROM psi JOIN fd USING (t), (SELECT DISTINCT fold FROM fd) f GROUP BY k, f.fold", fd="SELECT t, (row_number() OVER (ORDER BY t) * 5 - 1) // count(*) OVER () AS fold FROM places"))
+def fold_moments(spark, sf):
+    """Training moments of each coordinate without each fold, from one pass."""
+    p = psi(spark, sf)
+    folds = filters.time_folds(p.select("variant", "t").distinct(), ["variant"], 5)
+    out = filters.fold_moments(p.join(folds, ["variant", "t"]).select("k", "fold", "psi"), "psi", ["k"])
+    return out.withColumn("var_train", F.round("var_train", 4))

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import stored
+
 
 def local_session(app: str = "strandline", cores: str | int = "*", memory: str = "8g") -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
@@ -28,10 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df computed once and held as a local table: for results that the calendar bounds (months, by coordinates or
-    draws), whose many uses would each read the fact tables again. Raises beyond `most` rows."""
-    rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} rows: not bounded by the calendar")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and held as a table in the shared folder: for results whose many uses would each read the fact
+    tables again."""
+    return stored(df, "settled")

@@ -37,7 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_stored(spark: SparkSession) -> None:
-    """Remove what `stored` and the archives wrote under the shared folder; no result that reads it may be in use."""
+    """Remove what `stored` and the archives wrote under the shared folder, and the catalog's entries of bucketed tables
+    there; no result that reads it may be in use."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("strandline_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
