@@ -224,6 +224,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key, np.int64)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], names=["key", "n", "g"])
 
 
+#: The ratio of a class of sizes to the next in the search by rarest shingles.
+_SIZES = 1.1
+
+
 class _Search:
     """Links by shingles, sought among the groups of keys that agree on a band, on top of links that are known."""
 
@@ -260,15 +264,26 @@ class _Search:
             self.found = checkpointed(components(links))
 
     def pairs(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components in the groups. Where the place of the shared shingle in either order of
-        shingles is known, a pair whose remaining shingles are too few for the similarity is left out: at the first
-        shingle that two similar sets share, none is."""
-        placed = "place" in rows.columns
-        side = lambda x: rows.select("g", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *([F.col("place").alias(f"p{x}")] if placed else []))
-        both = side("u").join(side("v"), "g").filter("cu > cv")
-        if placed:
-            share = self.similarity / (1 + self.similarity)
-            both = both.filter(1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= F.lit(share) * (F.col("nu") + F.col("nv")) - 1e-9)
+        """All pairs of different components in the groups."""
+        side = lambda x: rows.select("g", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
+        return side("u").join(side("v"), "g").filter("cu > cv").select("u", "nu", "v", "nv")
+
+    def placed_pairs(self, rows: DataFrame) -> DataFrame:
+        """The pairs of a smaller and a larger text of different components in the groups of `rarest` that the places of the
+        shared shingle leave enough room: at the first shingle that two similar sets share, they do.
+
+        The members of a group's largest component do not meet each other, so of what the join makes a third at least
+        are pairs of different components, however large a family of copies is."""
+        sizes = rows.groupBy("g", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("g").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+        known = rows.join(main, "g").withColumn("inside", F.col("component") == F.col("main"))
+        side = lambda x: [F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("place").alias(f"p{x}")]
+        large = known.filter("not small").select("g", "inside", *side("u"))
+        meets = F.explode(F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False))))
+        small = known.filter("small").select("g", meets.alias("inside"), *side("v"))
+        share = self.similarity / (1 + self.similarity)
+        room = 1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= F.lit(share) * (F.col("nu") + F.col("nv")) - 1e-9
+        both = small.join(large, ["g", "inside"]).filter(room & F.expr("cu != cv AND (nv < nu OR (nv = nu AND v < u))"))
         return both.select("u", "nu", "v", "nv")
 
     def stars(self, held: DataFrame) -> None:
@@ -276,15 +291,31 @@ class _Search:
         self.compare(rows.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("low.key").alias("v"), F.col("low.n").alias("nv")))
 
     def rarest(self, keys: DataFrame) -> DataFrame:
-        """(key, n, g, place): for each key as many of its shingles, the rarest among all of `keys`, as it takes for any two
-        of the similarity sought to share one: two sets that share none of them differ in too many others."""
+        """(key, n, g, place, small): for each key as many of its shingles, the rarest among all of `keys`, as it takes for any
+        two of the similarity sought to share one: two sets that share none of them differ in too many others.
+
+        A group is a shingle and a class of sizes. A key is there as the larger of two texts in the class of its own size, and as
+        the smaller one in each class of the larger sizes that its place leaves enough room. The smaller text's places are
+        fewer, a ninth of its shingles at 0.8. Groups without both a smaller and a larger text are left out, so texts
+        around a passage that is too short to make any two of them similar do not meet."""
         every = checkpointed(self.sets.join(keys, "key", "left_semi").mapInArrow(_exploded, "key long, n long, g long"))
         often = checkpointed(every.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"))
         met = every.join(often, "g")
         alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))  # shingles of no other key come first
         place = F.row_number().over(Window.partitionBy("key").orderBy("m", "g"))
         most = F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - 1e-9) + 1
-        return met.withColumn("place", place + alone).filter(F.col("place") <= most).select("key", "n", "g", "place")
+        first = met.withColumn("place", place + alone).filter(F.col("place") <= most)
+        # The largest partner's size, by the place and by the similarity.
+        share = self.similarity / (1 + self.similarity)
+        reach = F.least((1 + F.col("n") - F.col("place")) / F.lit(share) - F.col("n"), F.col("n") / F.lit(self.similarity)) + 1e-6
+        size = lambda n: F.floor(F.log(n) / F.lit(float(np.log(_SIZES))))
+        own = F.array(F.struct(size(F.col("n")).alias("size"), F.lit(False).alias("small")))
+        wider = F.transform(F.sequence(size(F.col("n")), size(F.greatest(reach, F.col("n")))), lambda c: F.struct(c.alias("size"), F.lit(True).alias("small")))
+        roles = F.explode(F.when(reach >= F.col("n"), F.concat(own, wider)).otherwise(own))
+        held = first.withColumn("role", roles).select("key", "n", F.xxhash64("g", "role.size").alias("g"), "place", "role.small")
+        held = checkpointed(held)
+        both = held.groupBy("g").agg(F.bool_or("small").alias("some"), F.bool_and("small").alias("all"), F.min("key").alias("k0"), F.max("key").alias("k1"))
+        return held.join(both.filter("some AND NOT all AND k0 < k1").select("g"), "g")
 
     def run(self) -> DataFrame:
         """(node, component). In each group every member is first compared with the group's smallest, which joins
@@ -297,7 +328,7 @@ class _Search:
         if not left.isEmpty():
             held = checkpointed(self.rarest(left))
             self.stars(held)
-            self.compare(self.pairs(self.mixed(held)))
+            self.compare(self.placed_pairs(self.mixed(held)))
         return self.found
 
 
@@ -335,7 +366,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs that agree on none. In a band's group every member is compared with the smallest, which joins large families
     of copies; then members of different components pair by pair, in groups of at most `crowd`. The members of larger
     groups that still hold several components, such as texts around one common passage, meet anew by the rarest fifth
-    of their shingles, without loss; these groups are compared pair by pair whatever their size.
+    of their shingles, without loss: a smaller and a larger text are compared where sizes and the places of a shared
+    shingle leave room for the similarity.
 
     Null, empty and word-free texts are one class. Rows that repeat an id are judged by their text each. A null id
     takes part and gives the component its id only where it has no other. Other columns are ignored whatever their

@@ -215,6 +215,54 @@ def test_passages_in_common_lose_no_pair(spark):
     assert n >= 250 and met == n, (n, met)
 
 
+def brute_classes(rows):
+    want = brute_near(rows)
+    return {d: want[d] for d, _ in rows}
+
+
+def test_families_of_many_sizes_lose_no_pair(spark):
+    """Texts of sizes a quarter apart around one passage, some just similar enough and some not."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(160)]
+    rows = []
+    for k in range(240):
+        own = [f"own{k} {i}" for i in range(rng.randrange(1, 24))]
+        cut = rng.randrange(0, 30)
+        rows.append((k, " ".join([*passage[cut:], *own])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd in (2, 16):
+        got = {r.doc_id: r.component_id for r in simhash.near_components(df, crowd=crowd).collect()}
+        assert got == brute_classes(rows)
+
+
+def search(spark, texts):
+    """A search over texts whose sets are at hand, with all keys in one band's group."""
+    rows = [(k, simhash.np.unique(simhash.shingle_hashes(t, 5))) for k, t in enumerate(texts)]
+    keys = spark.createDataFrame([(k, len(h), [1]) for k, h in rows], "key long, n long, bands array<long>")
+    known = spark.createDataFrame([(0, 0)], "u long, v long")
+    s = simhash._Search(keys, None, known, 5, 0.8, 16)
+    s.sets = spark.createDataFrame([(k, bytearray(h.tobytes())) for k, h in rows], "key long, shingles binary").repartition(4)
+    return s, keys.select("key")
+
+
+def test_texts_around_a_passage_do_not_all_meet(spark):
+    """Their passage is too short to make any two similar: no row is joined, however many they are."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    for count in (50, 200):
+        s, keys = search(spark, [passage + " " + " ".join(f"own{k}x{i}" for i in range(30)) for k in range(count)])
+        assert s.rarest(keys).count() == 0
+
+
+def test_members_of_a_large_family_do_not_meet_each_other(spark):
+    rows = [(k, 100, 7, 1, small, 0 if k < 300 else k) for k in range(303) for small in (False, True)]
+    held = spark.createDataFrame(rows, "key long, n long, g long, place long, small boolean, component long")
+    s, _ = search(spark, ["a b c d e f"])
+    pairs = s.placed_pairs(held)
+    assert pairs.distinct().count() == 300 * 3 + 3 == pairs.count()
+    joined = [m for m in pairs.select("u", "v").collect()]
+    assert all(r.u >= 300 or r.v >= 300 for r in joined)
+
+
 def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [(1, a, 0), (3, a, 1), (3, b, 2), (5, b, 3), (None, b, 4), (None, "alone", 5)]
