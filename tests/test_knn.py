@@ -55,3 +55,13 @@ def test_copies_cost_no_pairs(spark):
     df = spark.range(3000).select(F.lit("b").alias("block"), "id", F.array((F.col("id") % 4).cast("double")).alias("v"))
     found = knn.search(df, 5)
     assert found.near.count() <= 16 and knn.knn_edges(df, 5).count() == 15_000
+
+
+@pytest.mark.parametrize("tile", [8, 40])
+def test_cells_and_visitors_in_many_tiles(spark, vectors, tile):
+    """Cells larger than a tile fall into several, and visitors of a tile into several crowds; far from the origin
+    the products' rounding must not decide."""
+    rows = vectors + [("away", i, [1e6 + x, 1e6]) for i, x in enumerate(np.random.default_rng(3).normal(size=70).tolist())] + [("away", 99, None)]
+    df = spark.createDataFrame(rows, "block string, id long, v array<double>").repartition(4)
+    got = {(r.block, r.i, r.j, round(r.d, 9), r["rank"]) for r in knn.knn_edges(df, 5, 20, tile).collect()}
+    assert got == brute(rows[:-1], 5)
