@@ -1,18 +1,22 @@
 """Leading eigenvectors of sparse symmetric operators held as edges, for blocks of any size.
 
-A block Krylov method over relations: the product of the operator with a few vectors is a join of its edges with the
-vectors' rows and a sum by row; Chebyshev's three-term rule makes a well-conditioned basis of such products. What one
-block needs to combine them, the products of the basis' columns with each other, are sums over rows, as many as the
-square of the columns, whatever the block's size; each block's small problem is solved in a task, and its solution
-joins the rows again. Every step is a stored table, from which the next goes on.
+A block Krylov method: a block's rows lie in pieces of bounded size with the edges of their rows. A product of the
+operator with a few vectors is a grouping by piece, where each piece receives the vectors' rows that its edges need from
+the other pieces, at most as many as it has edges; Chebyshev's three-term rule makes a well-conditioned basis of such
+products. What one block needs to combine them, the products of the basis' columns with each other, are sums over
+rows, as many as the square of the columns, whatever the block's size; each block's small problem is solved in a task,
+and its solution joins the pieces again. The products of a cycle are one job of as many shuffles; each cycle is a stored
+table, from which the next goes on.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +24,120 @@ from ..storage import stored
 
 #: Directions of the basis whose share is below this are dropped: they are combinations of the others.
 _RANK = 1e-12
+#: Rows of a piece, on average.
+PIECE = 4096
+
+
+def _row(key: tuple, columns: pa.Table, found: list[tuple[int, int, dict | np.ndarray, list[float] | None, list[float] | None]]) -> pa.Table:
+    """Rows of a piece's table for found (piece, src, body, off, g)."""
+    n = len(found)
+    blocks = pa.array([key[0].as_py()] * n, columns.schema.field("block").type)
+    piece, src, body, off, g = zip(*found)
+    lists = [pa.array(x, pa.list_(pa.float64())) for x in (off, g)]
+    return pa.table({"block": blocks, "piece": pa.array(piece, pa.int64()), "src": pa.array(src, pa.int64()), "body": pa.array([pickle.dumps(x, 5) for x in body], pa.binary()), "off": lists[0], "g": lists[1]})
+
+
+def _messages(own: int, state: dict) -> list[tuple]:
+    """What the other pieces need of the newest column: the rows with an edge into them, in order of their ids."""
+    return [(to, own, state["now"][rows], None, None) for to, rows in state["send"].items()]
+
+
+def _pieces(edges: DataFrame, start: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """The rows of start dealt by hash into pieces of about `size`, each with the edges of its rows: one row of state for
+    each piece (its src is -1), and its messages to others. The operator is symmetric, so that what a piece needs of
+    another is what that one has edges to."""
+    parts = stored(start.groupBy("block").agg(F.ceil(F.count("*") / size).alias("parts")), "parts")
+    deal = lambda x: F.pmod(F.xxhash64(x), F.col("parts"))
+    rows = start.join(F.broadcast(parts), "block").select("block", deal("i").alias("piece"), "i", "x")
+    ties = edges.join(F.broadcast(parts), "block").select("block", deal("i").alias("piece"), deal("j").alias("to"), "i", "j", "a")
+
+    def gather(key: tuple, rows: pa.Table, ties: pa.Table) -> pa.Table:
+        rows, own = rows.sort_by("i"), key[1].as_py()
+        ids, x = rows.column("i").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        i, j, to, a = (ties.column(n).to_numpy() for n in ("i", "j", "to", "a"))
+        at, state = np.searchsorted(ids, i), {"ids": ids, "x": x, "now": x, "take": {}, "send": {}}
+        for t in np.unique(to).tolist():
+            mine = np.flatnonzero(to == t)
+            mine = mine[np.argsort(at[mine], kind="stable")]
+            rows_at, first = np.unique(at[mine], return_index=True)
+            others = ids if t == own else np.unique(j[mine])
+            state["take"][t] = (rows_at, first, np.searchsorted(others, j[mine]), a[mine][:, None], len(others))
+            if t != own:
+                state["send"][t] = rows_at
+        return _row(key, rows, [(own, -1, state, None, None), *_messages(own, state)])
+
+    kind = start.schema["block"].dataType.simpleString()
+    schema = f"block {kind}, piece long, src long, body binary, off array<double>, g array<double>"
+    return rows.groupBy("block", "piece").cogroup(ties.groupBy("block", "piece")).applyInArrow(gather, schema), schema
+
+
+def _stepped(pieces: DataFrame, schema: str, count: int, last: bool = False) -> DataFrame:
+    """One product with the operator in every piece: the next Chebyshev column from the newest one, whose rows have come
+    from the other pieces. The first product of a cycle also says how far the wanted columns are off; the last one sums
+    up the products of the basis' columns."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own, state, sent = key[1].as_py(), None, {}
+        for src, body in zip(table.column("src").to_pylist(), table.column("body")):
+            if src < 0:
+                state = pickle.loads(body.as_buffer())
+            else:
+                sent[src] = pickle.loads(body.as_buffer())
+        sent[own] = now = state["now"]
+        y = np.zeros_like(now)
+        for t, (rows, first, cols, a, n) in state["take"].items():
+            if len(sent.get(t, ())) != n:
+                raise ValueError("the operator is not symmetric, or has edges to rows that start does not have")
+            y[rows] += np.add.reduceat(a * sent[t][cols], first, axis=0)
+        off = g = None
+        if "basis" not in state:
+            x = state.pop("x")
+            state["basis"] = [x, y]
+            values = state.pop("values", None)
+            if values is not None:
+                few = min(count, len(values))
+                off = np.append(((y[:, :few] - values[:few] * x[:, :few]) ** 2).sum(axis=0), np.zeros(count - few))
+        else:
+            y = 2 * y - state["basis"][-2]
+            state["basis"].append(y)
+        state["now"] = y
+        if last:
+            b = np.concatenate(state["basis"], axis=1)
+            g = (b.T @ b).ravel()
+        return _row(key, table, [(own, -1, state, off, g), *([] if last else _messages(own, state))])
+
+    return pieces.groupBy("block", "piece").applyInArrow(run, schema)
+
+
+def _mixed(pieces: DataFrame, solved: DataFrame, schema: str, width: int, steps: int) -> DataFrame:
+    """The pieces with their rows of the solved vectors, and the messages of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(k, 1)])
+                own, state = one.column("piece")[0].as_py(), pickle.loads(one.column("body")[0].as_buffer())
+                mix = np.array(one.column("mix")[0].as_py())
+                state["x"] = state["now"] = np.concatenate(state.pop("basis"), axis=1)[:, : width * steps] @ mix.T
+                state["values"] = np.array(one.column("values")[0].as_py())
+                yield from _row((one.column("block")[0],), one, [(own, -1, state, None, None), *_messages(own, state)]).to_batches()
+
+    return pieces.select("block", "piece", "body").join(solved, "block").mapInArrow(run, schema)
 
 
-def _product(edges: DataFrame, x: DataFrame, width: int) -> DataFrame:
-    """(block, i, x): sum over j of a_ij x_j for edges(block, i, j, a) and x(block, i, x array)."""
-    at = x.select("block", F.col("i").alias("j"), "x")
-    sums = [F.sum(F.col("a") * F.col("x")[c]).alias(f"x{c}") for c in range(width)]
-    return edges.join(at, ["block", "j"]).groupBy("block", "i").agg(*sums).select("block", "i", F.array(*[f"x{c}" for c in range(width)]).alias("x"))
+def _rows(pieces: DataFrame, start: DataFrame) -> DataFrame:
+    """(block, i, x) of the pieces."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                state = pickle.loads(body.as_buffer())
+                x = state["basis"][0]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(x), batch.schema.field(0).type), pa.array(state["ids"]), lists], names=["block", "i", "x"])
 
-def _basis(edges: DataFrame, x: DataFrame, image: DataFrame, width: int, steps: int) -> DataFrame:
-    """(block, i, b): the columns T_0(A) x, ..., T_steps(A) x of each row, one after the other; image is A x."""
-    last, now = x, image
-    every = x.select("block", "i", F.col("x").alias("b")).join(now, ["block", "i"]).select("block", "i", F.concat("b", "x").alias("b"))
-    for k in range(1, steps):
-        both = _product(edges, now, width).join(last.select("block", "i", F.col("x").alias("before")), ["block", "i"])
-        last, now = now, stored(both.select("block", "i", F.zip_with("x", "before", lambda a, b: 2 * a - b).alias("x")), "krylov")
-        every = every.join(now, ["block", "i"]).select("block", "i", F.concat("b", "x").alias("b"))
-    return stored(every, "basis")
+    types = {f.name: f.dataType.simpleString() for f in start.schema}
+    return pieces.filter("src < 0").select("block", "body").mapInArrow(run, f"block {types['block']}, i {types['i']}, x array<double>")
 
 
 def gram(rows: DataFrame) -> DataFrame:
@@ -89,7 +189,7 @@ def _solved(grams: DataFrame, width: int, steps: int) -> DataFrame:
     return grams.groupBy("block").applyInPandas(run, f"block {kind}, values array<double>, mix array<array<double>>")
 
 
-def leading(edges: DataFrame, start: DataFrame, count: int, width: int, steps: int = 12, tolerance: float = 1e-6, max_cycles: int = 100) -> tuple[DataFrame, DataFrame]:
+def leading(edges: DataFrame, start: DataFrame, count: int, width: int, steps: int = 12, tolerance: float = 1e-6, max_cycles: int = 100, size: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """The `count` largest eigenpairs of each block's operator edges(block, i, j, a), symmetric and with eigenvalues in
     [-1, 1]: rows (block, i, x) with orthonormal columns, best first, and (block, values, residual), the largest residual
     of the wanted pairs, summed up from the rows.
@@ -99,21 +199,20 @@ def leading(edges: DataFrame, start: DataFrame, count: int, width: int, steps: i
     where eigenvalues lie close together. A block of fewer rows than `count` has as many values
     as rows. An empty table gives no rows.
     """
-    edges, x = stored(edges, "edges"), stored(start, "start")
-    image = stored(_product(edges, x, width), "krylov")
-    for _ in range(max_cycles):
-        basis = _basis(edges, x, image, width, steps)
-        solved = stored(_solved(gram(basis), width, steps), "ritz")
-        own = F.slice("b", 1, width * steps)
-        mixed = F.transform("mix", lambda m: F.aggregate(F.zip_with(m, own, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
-        x = stored(basis.join(solved, "block").select("block", "i", mixed.alias("x"), "values"), "vectors")
-        image = stored(_product(edges, x, width), "krylov")
-        off = x.join(image.select("block", "i", F.col("x").alias("y")), ["block", "i"])
-        squares = [F.sum(F.pow(F.coalesce(F.col("y")[c] - F.col("values")[c] * F.col("x")[c], F.lit(0.0)), F.lit(2))).alias(f"r{c}") for c in range(count)]
-        residuals = stored(off.groupBy("block").agg(*squares).select("block", F.sqrt(F.greatest(F.lit(0.0), *[f"r{c}" for c in range(count)])).alias("residual")), "residuals")
+    start = stored(start, "start")
+    pieces, schema = _pieces(stored(edges, "edges"), start, size)
+    for cycle in range(max_cycles):
+        for step in range(2 if cycle else 1, steps + 1):
+            pieces = _stepped(pieces, schema, count, step == steps)
+        pieces = stored(pieces, "krylov")
+        sums = pieces.filter("g IS NOT NULL").select("block", F.posexplode("g").alias("at", "g"))
+        solved = stored(_solved(sums.groupBy("block", F.col("at").cast("long").alias("at")).agg(F.sum("g").alias("g")), width, steps), "ritz")
+        pieces = stored(_stepped(_mixed(pieces, solved, schema, width, steps), schema, count), "vectors")
+        squares = [F.sum(F.col("off")[c]).alias(f"r{c}") for c in range(count)]
+        residuals = stored(pieces.filter("off IS NOT NULL").groupBy("block").agg(*squares).select("block", F.sqrt(F.greatest(F.lit(0.0), *[f"r{c}" for c in range(count)])).alias("residual")), "residuals")
         worst = residuals.agg(F.max("residual")).first()[0]
         if worst is None or worst <= tolerance:
-            return x.select("block", "i", "x"), solved.select("block", "values").join(residuals, "block")
+            return _rows(pieces, start), solved.select("block", "values").join(residuals, "block")
     raise RuntimeError(f"residuals are still up to {worst:g} after {max_cycles} cycles")
 
 
@@ -121,6 +220,7 @@ def laplacian_eigen(aff: DataFrame, count: int, guard: int = 4) -> DataFrame:
     """Leading eigenpairs of each block's normalised Laplacian: (block, l, value, i, phi), phi scaled to unit mean square and
     signed at its largest place, the constant one first. aff(block, i, j, a) is symmetric."""
     width = count + guard
+    aff = stored(aff.select("block", "i", "j", "a"), "laplacian")
     degree = stored(aff.groupBy("block", "i").agg(F.sum("a").alias("d")), "degrees")
     at = degree.select("block", F.col("i").alias("j"), F.col("d").alias("dj"))
     edges = aff.join(degree, ["block", "i"]).join(at, ["block", "j"]).select("block", "i", "j", (F.col("a") / F.sqrt(F.col("d") * F.col("dj"))).alias("a"))
