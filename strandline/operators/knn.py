@@ -181,6 +181,7 @@ def search(vectors: DataFrame, k: int, cell: int | None = None, tile: int = TILE
         home = order[np.searchsorted(p, own, sorter=order)]
         to, between = _Products(x, y), _Products(y, y)
         gaps = np.sqrt(between(slice(None), slice(None)) + between.error)
+        np.fill_diagonal(gaps, 1.0)  # its own cell is looked at apart
         close = heads.column("close").to_pylist()
         owner = np.repeat(np.arange(len(p)), [len(c) for c in close])
         close = np.concatenate([np.array(c) for c in close])

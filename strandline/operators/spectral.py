@@ -194,7 +194,7 @@ def leading(edges: DataFrame, start: DataFrame, count: int, width: int, steps: i
     [-1, 1]: rows (block, i, x) with orthonormal columns, best first, and (block, values, residual), the largest residual
     of the wanted pairs, summed up from the rows.
 
-    start(block, i, x) has `width` columns. Cycles of `steps` products run until all wanted residuals are below
+    start(block, i, x) has `width` columns, and a row for each end of an edge; `size` is the rows of a piece. Cycles of `steps` products run until all wanted residuals are below
     `tolerance` (the basis allows about 1e-7; values are right to the square of it); they are more
     where eigenvalues lie close together. A block of fewer rows than `count` has as many values
     as rows. An empty table gives no rows.
@@ -216,7 +216,7 @@ def leading(edges: DataFrame, start: DataFrame, count: int, width: int, steps: i
     raise RuntimeError(f"residuals are still up to {worst:g} after {max_cycles} cycles")
 
 
-def laplacian_eigen(aff: DataFrame, count: int, guard: int = 4) -> DataFrame:
+def laplacian_eigen(aff: DataFrame, count: int, guard: int = 4, size: int = PIECE) -> DataFrame:
     """Leading eigenpairs of each block's normalised Laplacian: (block, l, value, i, phi), phi scaled to unit mean square and
     signed at its largest place, the constant one first. aff(block, i, j, a) is symmetric."""
     width = count + guard
@@ -225,8 +225,8 @@ def laplacian_eigen(aff: DataFrame, count: int, guard: int = 4) -> DataFrame:
     at = degree.select("block", F.col("i").alias("j"), F.col("d").alias("dj"))
     edges = aff.join(degree, ["block", "i"]).join(at, ["block", "j"]).select("block", "i", "j", (F.col("a") / F.sqrt(F.col("d") * F.col("dj"))).alias("a"))
     noise = [F.xxhash64("i", F.lit(c)) / F.lit(2.0**63) for c in range(1, width)]
-    x, values = leading(edges, degree.select("block", "i", F.array(F.sqrt("d"), *noise).alias("x")), count, width)
-    long = x.join(degree, ["block", "i"]).join(values, "block").select("block", "i", F.posexplode(F.slice(F.transform("x", lambda y: y / F.sqrt("d")), 1, F.least(F.lit(count), F.size("values")))).alias("l", "phi"), "values")
+    x, values = leading(edges, degree.select("block", "i", F.array(F.sqrt("d"), *noise).alias("x")), count, width, size=size)
+    long = x.join(degree, ["block", "i"]).join(F.broadcast(values), "block").select("block", "i", F.posexplode(F.slice(F.transform("x", lambda y: y / F.sqrt("d")), 1, F.least(F.lit(count), F.size("values")))).alias("l", "phi"), "values")
     long = long.withColumn("value", F.greatest(1 - F.element_at("values", F.col("l") + 1), F.lit(0.0))).drop("values")
     norm = long.groupBy("block", "l").agg(F.sqrt(F.avg(F.col("phi") * F.col("phi"))).alias("norm"), F.max_by("phi", F.struct(F.abs("phi"), -F.col("i"))).alias("big"))
-    return long.join(norm, ["block", "l"]).select("block", "l", "value", "i", (F.col("phi") * F.signum("big") / F.col("norm")).alias("phi"))
+    return stored(long.join(norm, ["block", "l"]).select("block", "l", "value", "i", (F.col("phi") * F.signum("big") / F.col("norm")).alias("phi")), "eigen")
