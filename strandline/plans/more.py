@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar, compare, filters, graph, kernels, moments, resample, scores
-from ..storage import stored
 from ..session import settled
 from ..sources.synthetic import synthetic_scores
 from .base import HORIZON, LAG, OUTCOMES, WIDTH, blocks, panel, psi, query, r, sql, weights
@@ -177,9 +178,16 @@ def graph_search(spark, sf):
     """Neighbours x density exponent x penalty by blocked cross-validation, as rows, and the best of each block."""
     v = _vectors(spark, sf)
     targets = v.select("block", F.col("id").alias("i"), F.element_at("v", 1).alias("y"))
-    most = stored(graph.knn_edges(v, 10), "neighbours")  # a shorter list is the beginning of a longer one
-    frames = {f"k={k},alpha={a:g}": graph.ridge_grid(graph.laplacian_eigen(graph.density_normalised(graph.affinities(most.filter(F.col("rank") <= k), k), a), 4), targets, [0.1, 1.0], 4) for k in (6, 10) for a in (0.0, 0.5)}
-    every = compare.union_named(frames, "setting")
+    most = graph.knn_edges(v, 10)  # a shorter list is the beginning of a longer one
+    near = {k: graph.affinities(most.filter(F.col("rank") <= k), k) for k in (6, 10)}
+    # All settings are solved together, each as blocks of its own.
+    named = lambda setting, df: df.withColumn("block", F.concat(F.lit(f"{setting}:"), F.col("block").cast("string")))
+    settings = {f"k={k},alpha={a:g}": graph.density_normalised(near[k], a).select("block", "i", "j", "a") for k in (6, 10) for a in (0.0, 0.5)}
+    aff = reduce(DataFrame.unionByName, [named(s, df) for s, df in settings.items()])
+    wanted = reduce(DataFrame.unionByName, [named(s, targets) for s in settings])
+    grid = graph.ridge_grid(graph.laplacian_eigen(aff, 4), wanted, [0.1, 1.0], 4)
+    key = F.split("block", ":", 2)
+    every = grid.select(key[1].cast(v.schema["block"].dataType).alias("block"), "lam", "cv_error", "edf", key[0].alias("setting"))
     return every.withColumn("best", F.row_number().over(Window.partitionBy("block").orderBy("cv_error", "setting", "lam")) == 1)
 
 

@@ -64,3 +64,40 @@ def test_more_cycles_where_values_are_close(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "block string, i long, j long, a double")
     assert spectral.laplacian_eigen(none, 3).count() == 0
+
+
+def test_pieces_exchange_their_rows(spark):
+    """A ring in pieces of about seven rows; an edge without its counterpart raises."""
+    n = 40
+    rows = [("p", i, (i + d) % n, 0.5) for i in range(n) for d in (-1, 1)]
+    start = spark.createDataFrame([("p", i, np.random.default_rng(i).normal(size=6).tolist()) for i in range(n)], "block string, i long, x array<double>")
+    edges = spark.createDataFrame(rows, "block string, i long, j long, a double")
+    x, values = spectral.leading(edges, start, 3, 6, steps=6, size=7)
+    assert np.allclose(values.first()["values"][:3], [1, np.cos(2 * np.pi / n), np.cos(2 * np.pi / n)], atol=1e-8)
+    m = np.array([r.x for r in x.orderBy("i").collect()])[:, :3]
+    a = np.zeros((n, n))
+    for _, i, j, w in rows:
+        a[i, j] = w
+    assert np.allclose(a @ m, m * values.first()["values"][:3], atol=1e-5)
+    lone = spark.createDataFrame([r for r in rows if r[1] % 3 or r[2] < r[1]], "block string, i long, j long, a double")
+    with pytest.raises(Exception, match="not symmetric"):
+        spectral.leading(lone, start, 3, 6, steps=3, size=7)
+
+
+def test_settings_are_solved_together(spark, sf, monkeypatch):
+    """The grid of graph_search is one eigenproblem of more blocks, not one after another."""
+    from strandline.plans import registry
+
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def solve(aff, count):
+        seen.extend(r.block for r in aff.select("block").distinct().collect())
+        raise Enough
+
+    monkeypatch.setattr(graph, "laplacian_eigen", solve)
+    with pytest.raises(Enough):
+        registry.queries()["graph_search"](spark, sf)
+    assert {str(b).split(":")[0] for b in seen} == {f"k={k},alpha={a}" for k in (6, 10) for a in ("0", "0.5")}
