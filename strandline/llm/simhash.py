@@ -320,7 +320,8 @@ class _Search:
     def run(self) -> DataFrame:
         """(node, component). In each group every member is first compared with the group's smallest, which joins
         families of copies; then all pairs of different components in small groups are compared. The members of larger
-        groups that still hold several components meet anew by their rarest shingles, which loses no pair."""
+        groups that still hold several components meet anew by their rarest shingles, which loses no pair: first in parts
+        of those groups, which joins most of what is similar, then all that are still apart."""
         self.stars(self.held)
         rows = self.mixed(self.held)
         self.compare(self.pairs(rows.filter(F.col("m") <= self.crowd)))
@@ -328,9 +329,23 @@ class _Search:
         if not left.isEmpty():
             held = checkpointed(self.rarest(left))
             self.stars(held)
-            self.compare(self.placed_pairs(self.mixed(held)))
+            rows = self.mixed(held)
+            for size in (self.crowd, 8 * self.crowd):
+                large = rows.filter(F.col("m") > size)
+                if large.isEmpty():
+                    break
+                self.compare(self.placed_pairs(self.dealt(large, size)))
+                rows = self.mixed(held)
+            self.compare(self.placed_pairs(rows))
         return self.found
 
+    def dealt(self, rows: DataFrame, size: int) -> DataFrame:
+        """The groups dealt by hash into parts of about `size`, another way in each group: a text that is similar to some of
+        a large family meets one of them among a few, so that it needs not meet them all. Pairs that part here and stay in
+        different components meet afterwards."""
+        part = F.pmod(F.xxhash64("key", "g", F.lit(size)), F.ceil(F.col("m") / F.lit(size)))
+        return rows.withColumn("g", F.xxhash64("g", part))
+
 
 def _near(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float, crowd: int) -> DataFrame:
     """(id, t, stays): t is a hash of the row's text, stays the struct (none, id, t) of the class's row that stays."""

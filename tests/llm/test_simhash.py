@@ -279,3 +279,42 @@ def test_pairs_of_short_texts_meet(spark):
             texts += [" ".join(words), " ".join([*words, "more"])]
     n, met = together(spark, texts)
     assert n == 240 and met == n, (n, met)
+
+
+def test_a_large_family_meets_in_parts(spark, monkeypatch):
+    """Texts about the threshold from each other: after a few comparisons each they are one class, not after all pairs."""
+    rng = np.random.default_rng(12)
+    n, words = 240, [f"w{i}" for i in range(600)]
+    texts = []
+    for t in range(n):
+        own = list(words)
+        for at in rng.choice(600, rng.integers(6, 9), replace=False):
+            own[at] = f"x{t}_{at}"
+        texts.append(" ".join(own))
+    sets = [np.unique(simhash.shingle_hashes(t)) for t in texts]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u in range(n):
+        for v in range(u):
+            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            bits = (simhash.majority_bits(simhash.shingle_hashes(texts[u])) ^ simhash.majority_bits(simhash.shingle_hashes(texts[v]))).bit_count() if both < 0.8 * (len(sets[u]) + len(sets[v]) - both) - 1e-9 else 0
+            if bits <= 2:
+                a, b = find(u), find(v)
+                root[max(a, b)] = min(a, b)
+    made, before = [], simhash._Search.placed_pairs
+
+    def counted(self, rows):
+        pairs = simhash.checkpointed(before(self, rows))
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash._Search, "placed_pairs", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    assert got == {i: find(i) for i in range(n)}
+    assert len(made) > 1 and sum(made) < 10 * n, made
