@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df, "step")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """What runs meanwhile hands its tasks' Python about `size` bytes at a time instead of 64 MB, which the JVM and the
+    worker of each core hold at once, the former twice while a buffer grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """The component of every node of edges(u, v): rows (node, component), component being its smallest node.
 

@@ -401,7 +401,11 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[end:]
 
 
-def _chunked(texts: pa.Array, tagger: Tagger, step: int = 512):
+#: Rows whose texts and spans are held as Python objects at a time.
+_STEP = 512
+
+
+def _chunked(texts: pa.Array, tagger: Tagger, step: int = _STEP):
     for lo in range(0, len(texts), step):
         part = texts.slice(lo, step).to_pylist()
         yield from zip(part, find_spans(part, tagger))
@@ -436,10 +440,12 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            texts = [t if not every else redact(t, every) for t, (_, every) in _chunked(b.column(at), tagger)]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        for whole in batches:
+            at = whole.schema.get_field_index(text_col)
+            for lo in range(0, whole.num_rows, _STEP):  # handed on bit by bit, so that no copy of a whole batch is held
+                b = whole.slice(lo, _STEP)
+                texts = [t if not every else redact(t, every) for t, (_, every) in _chunked(b.column(at), tagger)]
+                yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     out = docs.mapInArrow(run, schema)
     if length_col in docs.columns:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bfd import best_fit_decreasing
-from .common import checkpointed
+from .common import checkpointed, small_batches
 from .tokens import cut, piece_tokenizer
 
 
@@ -168,7 +168,8 @@ def swap_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     in all columns are told apart by their sequence and offset only. Other columns are ignored; an empty table gives
     no rows. block_pieces bounds what one task packs at a time; every piece is packed.
     """
-    found = checkpointed(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        found = checkpointed(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     blocks = max(1, math.ceil(found.count() / block_pieces))
     dealt = found.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")

@@ -104,7 +104,7 @@ class PieceTokenizer:
     Words of up to 23 bytes and 8 ids are remembered in `slots` (a power of two) places of 57 bytes each.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21, block: int = 1 << 20):
+    def __init__(self, path: str, slots: int = 1 << 19, block: int = 1 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.plain, self.block = _plain(spec), block

@@ -1,8 +1,11 @@
 import random
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from strandline.llm import common
+from strandline.llm import common, swap_packing, tokens
 
 
 def brute(edges):
@@ -41,3 +44,28 @@ def test_stored_tables_can_be_cleared(spark):
     common.clear_stored(spark)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_small_batches_bound_what_a_worker_is_given(spark):
+    """One task, 20 MB of texts: pieces of a few MB, and the session's setting as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with common.small_batches(spark):
+        found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 3 and max(found) < 6 << 20 and sum(found) >= 20_000_000
+    assert spark.conf.get(name) == before
+
+
+def test_packing_hands_its_workers_small_batches(spark, monkeypatch):
+    """The stage's texts come in small batches, and the memory of words stays small."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    stored = swap_packing.checkpointed
+    monkeypatch.setattr(swap_packing, "checkpointed", lambda df: seen.append(spark.conf.get(name)) or stored(df))
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert swap_packing.swap_packing(docs, path).count() == 2
+    assert [int(x) for x in seen] == [4 << 20]
+    table = tokens.PieceTokenizer(path).table
+    assert table.keys.nbytes + table.ids.nbytes + table.n.nbytes <= 32 << 20
