@@ -8,8 +8,9 @@ token of B that cover it, the next ones to end. So there are as many links as en
 Documents are not exploded into tokens. Both tokenizers cut a text before a lone space or line end (`boundary`), so a
 text's groups are those of its words in turn; the core runs once over the different words of all documents, and documents
 look their words up. The most frequent words, `common` of them at most, are broadcast; the rest, each of which is rarer
-than those, are joined. Documents lie in a table bucketed by their key, so that what is said of a document's words
-comes together without moving texts again. An id pair's count and what follows from it are relations over words too.
+than those, are joined. A document is split for the second and last time where it becomes the numbers of its common words
+and the places of its rare ones, in a table bucketed by its key, so that what is said of its words comes together without
+moving it again, and its groups are taken by number. An id pair's count and what follows from it are relations over words.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import shared_path, small_batches, stored
 from .tokens import _plain, piece_tokenizer
 
 SPACE_MARK = "▁"
@@ -110,6 +113,23 @@ def pieces_of(model: tuple, texts: list[str]) -> Iterator[list[int] | None]:
         yield ids if b"".join([raw[i] for i in ids]) == t.encode() else None
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of runs of values, counts[i] of them at a time."""
+    before = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return before[ends] - before[ends - counts]
+
+
+def _lists(values: np.ndarray | pa.Array, counts: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    """Runs of values as lists, null where missing."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values) if isinstance(values, np.ndarray) else values, mask=None if missing is None else pa.array(missing))
+
+
+def _counts(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
 def tokenized(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(wid, a, a_bytes, b, b_bytes) of words(wid, word): ids and byte lengths as arrays; null arrays where the bytes of
     either are not the word's."""
@@ -120,16 +140,17 @@ def tokenized(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                texts = part.column(1).to_pylist()
-                rows = []
-                for text, raw, b in zip(texts, first.encode_batch(part.column(1)), pieces_of(second, texts)):
-                    a = np.frombuffer(raw, "<u4").astype(np.int32)
-                    if b is None or int(lengths[a].sum()) != len(text.encode()):
-                        rows.append((None,) * 4)
-                    else:
-                        rows.append((a, lengths[a], np.array(b, np.int32), widths[b]))
-                ids = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, ids) for x in zip(*rows)]], names=["wid", "a", "a_bytes", "b", "b_bytes"])
+                coded, pieces = list(first.encode_batch(part.column(1))), list(pieces_of(second, part.column(1).to_pylist()))
+                spelt = np.array([x is not None for x in pieces], bool)
+                a, n = np.frombuffer(b"".join(coded), "<u4").astype(np.int32), np.array([len(x) // 4 for x in coded], np.int64)
+                spelt &= _sums(lengths[a], n) == pc.binary_length(part.column(1)).to_numpy()
+                a = a[np.repeat(spelt, n)]
+                b = [x for x, ok in zip(pieces, spelt.tolist()) if ok]
+                m = np.zeros(len(n), np.int64)
+                m[spelt] = [len(x) for x in b]
+                b = np.fromiter(chain.from_iterable(b), np.int32)
+                lists = [_lists(x, k, ~spelt) for x, k in ((a, n * spelt), (lengths[a], n * spelt), (b, m), (widths[b], m))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["wid", "a", "a_bytes", "b", "b_bytes"])
 
     return words.select("wid", "word").mapInArrow(run, "wid long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
@@ -174,6 +195,53 @@ def aligned_words(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+_SUMS = (*_COUNTS, "n_best", "count_sum")
+
+
+def _numbered(held):
+    """Batches (k, id, words) to (k, id, codes, rare): a common word's number in `held`, -1 for a rare one, which comes with
+    its place besides. A document without words has empty lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = b.column(2).flatten(), _counts(b.column(2))
+            codes = pc.fill_null(pc.index_in(words, value_set=held.value), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            at = np.flatnonzero(codes < 0)
+            row = np.repeat(np.arange(len(n)), n)[at]
+            places = (at - (np.cumsum(n) - n)[row]).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(places), words.take(pa.array(at))], names=["pos", "word"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(codes, n), _lists(rare, np.bincount(row, minlength=len(n)))], names=["k", "id", "codes", "rare"])
+
+    return run
+
+
+#: Words whose groups are put together at a time.
+_WORDS = 1 << 18
+
+
+def _assembled(held):
+    """Batches (id, codes, sums of the rare words, list of their places and groups) to (id, sums, groups) of documents; `held`
+    has the sums and groups of the common words in order of their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = held.value
+        weights = [pc.fill_null(facts[c], 0).to_numpy() for c in _SUMS]
+        common = facts["groups"].combine_chunks()
+        for whole in batches:
+            ends, lo = np.cumsum(_counts(whole.column(1))), 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _WORDS, side="right")))
+                b, lo = whole.slice(lo, hi - lo), hi
+                codes, n = b.column(1).flatten().to_numpy(zero_copy_only=False), _counts(b.column(1))
+                known = codes >= 0
+                sums = [_sums(np.where(known, w[codes] if len(w) else 0, 0), n) + b.column(2 + i).to_numpy() for i, w in enumerate(weights)]
+                far, m = b.column(2 + len(_SUMS)).flatten(), _counts(b.column(2 + len(_SUMS)))
+                take = codes.astype(np.int64)
+                take[np.repeat(np.cumsum(n) - n, m) + far.field("pos").to_numpy()] = len(common) + np.arange(len(far))
+                groups = pa.concat_arrays([common, far.field("groups")]).take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pc.binary_join(_lists(groups, n), ";")], names=["id", *_SUMS, "groups"])
+
+    return run
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", common: int = 1 << 18) -> DataFrame:
@@ -186,29 +254,36 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     n = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), _BUCKETS)
-    split = F.split("full", boundary(path_a, path_b))
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.when(F.octet_length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col)))
+    # Read once: the vocabulary and the documents must come of the same rows, also where docs gives others each time.
+    docs = stored(docs.select(F.col(id_col).alias("id"), text.alias("full")), "full")
+    split = F.split("full", boundary(path_a, path_b))
+    words = docs.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    words = stored(words.withColumn("wid", F.monotonically_increasing_id()), "vocabulary")
+    facts = aligned_words(words, path_a, path_b).withColumnRenamed("doc", "wid")
+    known = stored(words.orderBy(F.desc("uses"), "wid").limit(common).select("wid", "word"), "common")
+    numbers = known.join(facts.select("wid"), "wid", "left_semi").toArrow().select(["wid", "word"])
+    numbers = numbers.append_column("code", pa.array(np.arange(len(numbers), dtype=np.int32)))
+    by_number = spark.sparkContext.broadcast(numbers["word"].combine_chunks())
+    known = stored(spark.createDataFrame(numbers.select(["wid", "code"])), "numbers")
     # Bucketed by a key of the row's own, so that all that follows reads a document where it lies.
     name = f"strandline_{uuid.uuid4().hex}"
-    keyed = docs.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).alias("id"), text.alias("full"))
-    keyed.repartition(n, "k").write.option("compression", "zstd").option("path", shared_path(spark, "texts")).format("parquet").bucketBy(n, "k").saveAsTable(name)
+    keyed = docs.select(F.monotonically_increasing_id().alias("k"), "id", split.alias("words"))
+    keyed = keyed.mapInArrow(_numbered(by_number), f"k long, id {kind}, codes array<int>, rare array<struct<pos: int, word: string>>")
+    with small_batches(spark):
+        keyed.repartition(n, "k").write.option("compression", "zstd").option("path", shared_path(spark, "texts")).format("parquet").bucketBy(n, "k").saveAsTable(name)
     texts = spark.read.table(name)
-    words = texts.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
-    words = stored(words.withColumn("wid", F.monotonically_increasing_id()), "vocabulary")
-    facts = aligned_words(words, path_a, path_b).withColumnRenamed("doc", "wid")
     bad = stored(words.join(facts.select("wid"), "wid", "left_anti").select("word"), "unspelt")
-    if not bad.isEmpty():
-        lost = stored(texts.select("k", F.explode(split).alias("word")).join(bad, "word", "left_semi").select("k").distinct(), "lost")
-        texts = texts.join(lost.withColumn("gone", F.lit(True)), "k", "left").withColumn("full", F.when(F.col("gone").isNull(), F.col("full"))).drop("gone")
-    known = stored(words.orderBy(F.desc("uses"), "wid").limit(common).select("wid", "word"), "common")
-    known = known.join(facts.select("wid"), "wid", "left_semi")
-    rare = texts.select("k", F.posexplode(split).alias("pos", "word")).join(F.broadcast(known.select("word")), "word", "left_anti")
-    rare = stored(rare.join(words.select("word", "wid"), "word").select("k", "pos", "wid"), "rare")
+    if not bad.isEmpty():  # unspelt words have no number
+        lost = stored(texts.select("k", F.inline("rare")).join(bad, "word", "left_semi").select("k").distinct(), "lost")
+        texts = texts.join(lost.withColumn("gone", F.lit(True)), "k", "left").select("k", "id", *[F.when(F.col("gone").isNull(), F.col(c)).alias(c) for c in ("codes", "rare")])
+    rare = stored(texts.select("k", F.inline("rare")).join(words.select("word", "wid"), "word").select("k", "pos", "wid"), "rare")
 
     # How many documents hold a pair: the pairs of a document's common words and of its rare ones, each but once.
     pairs = F.array_distinct("links")
-    by_word = F.broadcast(known.join(facts.select("wid", pairs.alias("pairs")), "wid").select("word", "pairs"))
-    here = texts.select("k", F.explode(F.array_distinct(split)).alias("word")).join(by_word, "word").select("k", F.explode("pairs").alias("pair")).distinct()
+    by_code = F.broadcast(known.join(facts.select("wid", pairs.alias("pairs")), "wid").select("code", "pairs"))
+    here = texts.select("k", F.explode(F.array_distinct("codes")).alias("code")).join(by_code, "code").select("k", F.explode("pairs").alias("pair")).distinct()
     there = rare.select("k", "wid").join(facts.select("wid", pairs.alias("pairs")), "wid").select("k", F.explode("pairs").alias("pair")).repartition(n, "k").distinct()
     with _together(spark):
         held = stored(here.join(there.hint("shuffle_hash"), ["k", "pair"], "full").groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
@@ -219,18 +294,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     # A word that only lost documents hold has no weights, and no document asks for them.
     facts = stored(facts.drop("links").join(weighed, "wid", "left"), "facts")
 
-    def gathered(rows: DataFrame, name: str) -> DataFrame:
-        sums = [F.sum(c).alias(c) for c in (*_COUNTS, "n_best", "count_sum")]
-        return rows.groupBy("k").agg(F.struct(*sums, F.collect_list(F.struct("pos", "groups")).alias("list")).alias(name))
-
-    by_word = F.broadcast(known.join(facts, "wid").drop("wid"))
-    near = gathered(texts.select("k", F.posexplode(split).alias("pos", "word")).join(by_word, "word"), "near")
-    far = gathered(rare.join(facts, "wid").repartition(n, "k"), "far")
-    both = texts.select("k", "id").join(near, "k", "left").join(far, "k", "left")
-    total = [(F.coalesce(f"near.{c}", F.lit(0).cast("long")) + F.coalesce(f"far.{c}", F.lit(0).cast("long"))).alias(c) for c in (*_COUNTS, "n_best", "count_sum")]
-    none = F.array().cast("array<struct<pos: int, groups: string>>")
-    ordered = F.array_sort(F.concat(F.coalesce("near.list", none), F.coalesce("far.list", none)))
-    return both.select(F.col("id").alias(id_col), *total, F.array_join(F.transform(ordered, lambda x: x["groups"]), ";").alias("groups"))
+    table = known.join(facts, "wid").select("code", *_SUMS, "groups").toArrow().sort_by("code")
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    far = rare.join(facts, "wid").repartition(n, "k").groupBy("k").agg(F.struct(*sums, F.collect_list(F.struct("pos", "groups")).alias("list")).alias("far"))
+    total = [F.coalesce(f"far.{c}", F.lit(0).cast("long")).alias(c) for c in _SUMS]
+    both = texts.select("k", "id", "codes").join(far, "k", "left").select("id", "codes", *total, "far.list")
+    out = both.mapInArrow(_assembled(spark.sparkContext.broadcast(table)), f"id {kind}, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups string")
+    return out.withColumnRenamed("id", id_col)
 
 
 def alignment_digests(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

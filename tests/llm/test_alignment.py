@@ -122,3 +122,9 @@ def test_the_core_takes_any_tokens(spark):
 def test_a_model_that_joins_words_is_not_cut():
     assert alignment.boundary(A, B) == alignment._BOUNDARY
     assert alignment.boundary(public_tokenizers.path("word_bpe_49k.json"), B) == alignment._NOWHERE
+
+
+def test_the_result_splits_and_regroups_no_text(corpus):
+    """Documents come as numbers of words: what is left for the result neither splits texts nor explodes their words."""
+    plan = alignment.align(corpus.limit(20), A, B)._jdf.queryExecution().toString().lower()
+    assert "split(" not in plan and "explode" not in plan
