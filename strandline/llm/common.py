@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import clear_stored, fresh, shared_dir, shared_path, stored  # noqa: F401  shared by the operators
+from ..storage import clear_stored, discard, fresh, shared_dir, shared_path, stored  # noqa: F401  shared by the operators
 
 #: The white space of the text contracts: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

@@ -36,6 +36,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of tables that were written to the shared folder for a step and that nothing reads any more; a
+    folder elsewhere stays."""
+    for df in frames:
+        spark = df.sparkSession
+        base = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}")
+        files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        own = files.makeQualified(base).toUri().getPath()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+            if path.getParent().toUri().getPath() == own:
+                files.delete(path, True)
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Remove what `stored` and the archives wrote under the shared folder, and the catalog's entries of bucketed tables
     there; no result that reads it may be in use."""

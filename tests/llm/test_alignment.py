@@ -1,12 +1,17 @@
+import glob
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandline.llm import alignment
+from strandline.llm.common import shared_dir
 from strandline.llm.tokens import _byte_of_letter
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -128,3 +133,69 @@ def test_the_result_splits_and_regroups_no_text(corpus):
     """Documents come as numbers of words: what is left for the result neither splits texts nor explodes their words."""
     plan = alignment.align(corpus.limit(20), A, B)._jdf.queryExecution().toString().lower()
     assert "split(" not in plan and "explode" not in plan
+
+
+def test_steps_that_nothing_reads_any_more_leave_the_disk(spark, corpus):
+    before = set(glob.glob(f"{shared_dir(spark)}/strandline/*/*"))
+    out = alignment.align(corpus, A, B, common=4)
+    left = {os.path.basename(x).split("-")[0] for x in set(glob.glob(f"{shared_dir(spark)}/strandline/*/*")) - before}
+    assert left and not left & {"full", "vocabulary", "tokens", "words", "rare", "weights"}
+    assert out.count() == corpus.count()
+
+
+def test_words_in_buckets_meet_without_being_moved(spark, corpus):
+    words = corpus.select(F.explode(F.split("text", " ")).alias("w")).filter("w != ''").select(F.concat(F.lit(" "), "w").alias("word")).distinct().withColumn("wid", F.monotonically_increasing_id())
+    facts, unspelt = alignment.aligned_words(words, A, B)
+    assert facts.count() == words.count() and unspelt.count() == 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rare = alignment._bucketed(words.select("wid", F.lit(1).alias("k")).repartition(n, "wid"), "wid", n, "rare")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rare.join(facts.withColumnRenamed("doc", "wid"), "wid")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_texts_that_go_on_over_batches_come_whole(spark):
+    """Texts of 1, 2, ... tokens, each a group, in batches of three rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        tokens = spark.createDataFrame([(d, p, 10 + p, 1) for d in range(12) for p in range(d + 1)], "doc long, pos int, id int, n int")
+        rows = alignment.described(alignment.aligned(tokens, tokens)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {r.doc: r.groups for r in rows} == {d: ";".join(f"{10 + p}|{10 + p}" for p in range(d + 1)) for d in range(12)}
+    assert all((r.n_a, r.n_b, r.n_groups, r.n_links, len(r.links)) == (r.doc + 1,) * 5 for r in rows)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 4, 100])
+def test_the_most_frequent_words_and_no_more_than_asked(spark, most):
+    uses = [5, 5, 5, 3, 2, 2]
+    words = spark.createDataFrame([(i, f"w{i}", u) for i, u in enumerate(uses)], "wid long, word string, uses long")
+    found = alignment._frequent(words, most)["wid"].to_pylist()
+    assert len(found) <= most and len(set(found)) == len(found)
+    kept = [uses[i] for i in found]
+    assert kept == sorted(kept, reverse=True) and all(u in kept or sum(v >= u for v in uses) > most for u in uses)
+
+
+def test_numbers_beyond_the_short_ones():
+    words = [f"w{i}" for i in range(alignment._LONG + 3)]
+    docs = pa.array([[words[-1], "rare", words[0], words[alignment._LONG], words[alignment._LONG - 1]], [], [words[-2]]])
+    held = type("Held", (), {"value": pa.array(words)})
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([7, 8, 9]), docs], names=["k", "id", "words"])
+    (out,) = alignment._numbered(held)([batch])
+    n = alignment._LONG
+    assert alignment._codes(out.column("codes"), out.column("long")).tolist() == [n + 2, -1, 0, n, n - 1, n + 1]
+    assert out.column("rare").to_pylist() == [[{"pos": 1, "word": "rare"}], [], []]
+
+
+def test_shuffle_files_are_swept_while_steps_are_written_only(spark, corpus, monkeypatch):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before, bucketed = spark.conf.get(name), alignment._bucketed
+    monkeypatch.setattr(alignment, "_bucketed", lambda *args: (seen.append(spark.conf.get(name)), bucketed(*args))[1])
+    alignment.align(corpus.limit(20), A, B)
+    assert seen and set(seen) == {"true"} and spark.conf.get(name) == before
